@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringework.llm import bpe, simhash
+from fringework.llm import bpe, quality, simhash
 from fringework.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -17,12 +17,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op6_simhash": op6_simhash}
+    return {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op6_simhash": op6_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
