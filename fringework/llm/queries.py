@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringework.llm import bpe, quality, simhash
+from fringework.llm import bpe, quality, simhash, suffix, superkmer
 from fringework.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,8 +25,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42)
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op6_simhash": op6_simhash}
+    return {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op10_superkmer": op10_superkmer}
 
 
 def oracle_sql() -> dict[str, str]:
