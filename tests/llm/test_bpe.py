@@ -38,6 +38,15 @@ def test_text_in_parts(monkeypatch):
     assert TOK.encode(text) == REFERENCE.encode_ordinary(text)
 
 
+def test_which_token_may_follow():
+    rng = random.Random(5)
+    v = TOK.vocabulary
+    some = [*range(256), *(v.ranks[t] for t in v.tokens if set(t) <= set(b"aeinst ")), *rng.choices(range(50256), k=2000)]
+    for _ in range(20000):
+        a, b = rng.choice(some), rng.choice(some)
+        assert v.may_follow(a, b) == (v.merge(v.tokens[a] + v.tokens[b]) == [a, b]), (v.tokens[a], v.tokens[b])
+
+
 def test_append_and_replace():
     rng = random.Random(3)
     words = ["the", "tion", "in", " ", "a", "xq", "ing", "er"]
