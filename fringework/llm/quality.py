@@ -30,12 +30,12 @@ def words(text: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, _words) for each row of docs."""
+    """(row, doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, _words) for each row of docs."""
     t = F.coalesce(docs[text], F.lit(""))
     d = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].cast("bigint").alias("doc_id"), t.alias("_t"))
     d = d.withColumns({"_words": words(F.col("_t")), "_lines": F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     d = d.select(
-        "row", "doc_id", "_words",
+        "row", "doc_id", "_words", F.xxhash64("_t").alias("text_hash"),
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("bigint").alias("n_symbols"),
@@ -52,7 +52,7 @@ def with_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     d = d.withColumn("_at", F.when(F.col("_sorted").isNotNull(), F.sort_array(F.transform(twice, lambda k: F.col("_sorted")[k]["i"]))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate("_at", zero, lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
-    return d.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), "_words")
+    return d.select("row", "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), "_words")
 
 
 def _pairs(d: DataFrame, *keep: str) -> DataFrame:
@@ -82,7 +82,7 @@ def weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for each row of docs.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, text_hash) for each row of docs.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not
     base_failed, and a score of ``threshold`` or more. Null and blank texts have no words, so they
@@ -90,10 +90,22 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text
     trusted documents all weights are zero and the base rules decide. Empty table: empty result.
     """
     w = F.broadcast(weights(docs, labels, text, doc_id))  # BUCKETS rows at most
-    counts = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counts = ["row", "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     d = _pairs(with_counts(docs, text, doc_id), *counts)
     d = d.join(w.select(F.col("bucket").alias("b1"), F.col("weight").alias("w1")), "b1", "left").join(w.select(F.col("bucket").alias("b2"), F.col("weight").alias("w2")), "b2", "left")
     d = d.groupBy(*counts).agg((F.coalesce(F.sum("w1"), F.lit(0)) + F.coalesce(F.sum("w2"), F.lit(0))).alias("sum"), (F.count("b1") + F.count("b2")).alias("n"))
     d = d.withColumn("score", F.when(F.col("n") > 0, F.col("sum") / F.col("n") / F.lit(UNIT)).otherwise(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).select(*counts[1:], "base_failed", "kept", "score", "row")
+    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).select("doc_id", *counts[3:], "base_failed", "kept", "score", "text_hash")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns.
+
+    A verdict finds its row again by id and text hash. Rows that are alike in both share it, as they
+    must: it depends on nothing else.
+    """
+    bad = judge(docs, labels, threshold, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = stored(bad, shared_dir(docs.sparkSession), "rejected")
+    same = docs[doc_id].cast("bigint").eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_hash"])
+    return docs.join(bad, same, "left_anti")

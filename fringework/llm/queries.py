@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringework.llm import bpe, quality, simhash, suffix, superkmer
+from fringework.llm import bpe, decontam, quality, simhash, suffix, superkmer
 from fringework.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -17,8 +17,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op10_superkmer": op10_superkmer}
+    return {"op1_bpe": op1_bpe, "op3_decontam": op3_decontam, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op10_superkmer": op10_superkmer}
 
 
 def oracle_sql() -> dict[str, str]:
