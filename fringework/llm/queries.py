@@ -7,9 +7,43 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringework.llm import bpe, decontam, quality, simhash, suffix, superkmer
+from fringework.llm import bpe, decontam, quality, simhash, suffix, superkmer, urlfilter, warc
 from fringework.llm.common import table
 
+#: A page with the payload's SHA-1 in base 32: each five hex digits are four characters.
+OP8 = """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM r
+"""
+
+#: Windows of 35 words with the places where they begin; words under a window that begins twice go.
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), twice AS (
+  SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, i + o AS p FROM twice, range(35) AS r(o)
+), word AS (
+  SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -25,6 +59,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42)
 
@@ -33,13 +71,17 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_decontam": op3_decontam, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op10_superkmer": op10_superkmer}
+    return {"op1_bpe": op1_bpe, "op3_decontam": op3_decontam, "op4_quality": op4_quality, "op5_urlfilter": op5_urlfilter, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_warc": op8_warc, "op10_superkmer": op10_superkmer}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8, "op10_superkmer": OP10}
