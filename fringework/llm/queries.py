@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringework.llm import bpe, decontam, quality, simhash, suffix, superkmer, urlfilter, warc
+from fringework.llm import bpe, chat, decontam, langid, quality, simhash, suffix, superkmer, urlfilter, warc
 from fringework.llm.common import table
 
 #: A page with the payload's SHA-1 in base 32: each five hex digits are four characters.
@@ -51,6 +51,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judge(table(spark, sf_dir, "pages"), *langid.fit(table(spark, sf_dir, "documents")))
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,12 +79,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.round_trip(table(spark, sf_dir, "conversations"))
+
+
 def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_decontam": op3_decontam, "op4_quality": op4_quality, "op5_urlfilter": op5_urlfilter, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_warc": op8_warc, "op10_superkmer": op10_superkmer}
+    return {
+        "op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_decontam": op3_decontam, "op4_quality": op4_quality, "op5_urlfilter": op5_urlfilter, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_warc": op8_warc, "op9_chat": op9_chat, "op10_superkmer": op10_superkmer,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
