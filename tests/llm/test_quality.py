@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from fringework.llm import quality
 
@@ -44,8 +45,8 @@ def brute(rows, good):
         raw.update(g)
         if i in good:
             target.update(g)
-    r, t = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
-    weight = {b: round((math.log((target[b] + 1) / t) - math.log((raw[b] + 1) / r)) * (1 << 20)) for b in raw} if sum(target.values()) else {b: 0 for b in raw}
+    share, c = sum(target.values()) / max(1, sum(raw.values())), quality.SMOOTHING
+    weight = {b: round(math.log((target[b] + c) / (raw[b] * share + c)) * (1 << 20)) if share else 0 for b in raw}
     out = []
     for i, text in rows:
         g = grams(text)
@@ -73,6 +74,15 @@ def test_the_table(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got.collect() if r.kept}
 
 
+def test_labelled_documents_apart(spark):
+    """On documents whose labels it has not seen: what is marked as good stays, and most of the rest goes."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = quality.judge(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed")
+    share = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1] >= 0.9 and share[0] <= 0.4
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\x0b"), (None, "a b a b a b"), (5, "x\ny\nx\n\n \nx"), (5, "x\ny\nx\n\n \nx"), (6, "word " * 30000), (7, "é# ü$ \x85 x|y"), (8, " ".join(f"w{i}" for i in range(60)))]
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id bigint, text string, kept string, n_words int")
