@@ -40,8 +40,7 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain(t)
 
 
-@pytest.mark.parametrize("small", [64, 3])
-@pytest.mark.parametrize("bits", [0, 1, 2, 3])
+@pytest.mark.parametrize("bits,small", [(0, 64), (1, 3), (2, 64), (2, 3), (3, 3)])
 def test_links_equal_brute_force(spark, tmp_path, monkeypatch, bits, small):
     if bits == 3 and small == 3:
         n = 12
