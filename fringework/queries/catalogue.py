@@ -730,7 +730,7 @@ def dedisp_search(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d, 10).withColumn("snr", F.round("snr", 6))
 
 
-@query(f"WITH {_SEARCH}, cand AS ({_CAND}) SELECT b.beam, bool_or(coalesce(abs(c.dm - b.dm) < 5 AND abs(c.time_s - b.t0_s) < 0.05 AND c.snr > 0.1, false)) AS matched FROM b LEFT JOIN cand c USING (beam) GROUP BY b.beam")
+@query(f"WITH {_SEARCH}, cand AS ({_CAND}) SELECT CAST(b.beam AS BIGINT) AS beam, bool_or(coalesce(abs(c.dm - b.dm) < 5 AND abs(c.time_s - b.t0_s) < 0.05 AND c.snr > 0.1, false)) AS matched FROM b LEFT JOIN cand c USING (beam) GROUP BY b.beam")
 def verify_matches(spark: SparkSession, d: str) -> DataFrame:
     return search.verified(_searched(spark, d), _bursts(spark), snr=0.1)
 
