@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fringework.llm.common import stored
+from fringework.llm.common import drop_dir, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,6 +28,7 @@ def components(links: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), folder, f"links-{k}")
+        drop_dir(edges.sparkSession, f"{folder}/links-{k - 1}")
         last, mark = mark, _mark(edges)
         if mark == last:
             break

@@ -252,6 +252,11 @@ def repeats(docs: DataFrame, cut: Callable[[bytes], Units], digest: Callable[[by
         keys = stored(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), folder, f"keys-{level}")
         reps = stored(kinds.join(keys, "key").select("key", "mark", "n", F.col("one.row").alias("row"), F.col("one.pos").alias("pos")), folder, f"reps-{level}")
         pieces = stored(parts.drop("n").join(reps, ["key", "mark", "row", "pos"]).select("row", "pos", "count", "off", "key", "mark", "n", "data"), folder, f"pieces-{level}")
+    for k in range(level + 1):  # what was found and the texts are all that is read from now on
+        for name in ("kinds", "twice", "keys", "pieces", "parts", "reps"):
+            drop_dir(spark, f"{folder}/{name}-{k}")
+    for name in ("kept", "kinds", "twice", "keys"):
+        drop_dir(spark, f"{folder}/{name}")
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.unionByName(more)
