@@ -61,9 +61,10 @@ def calibration(spark: SparkSession) -> DataFrame:
 
 def baselines(spark: SparkSession) -> DataFrame:
     """(ant_i, ant_j, u_m, v_m) with ant_j <= ant_i, from the geometry. As many rows as the array has pairs."""
-    g = geometry(spark)
-    i, j = g.select(F.lit(1).alias("k"), F.col("ant").alias("ant_i"), F.col("e").alias("e_i"), F.col("n").alias("n_i")), g.select(F.lit(1).alias("k"), F.col("ant").alias("ant_j"), F.col("e").alias("e_j"), F.col("n").alias("n_j"))
-    return i.join(j, "k").where("ant_j <= ant_i").select("ant_i", "ant_j", (F.col("e_i") - F.col("e_j")).alias("u_m"), (F.col("n_i") - F.col("n_j")).alias("v_m"))
+    pair = spark.range(ANT * ANT).select(F.expr(f"cast(id div {ANT} as int)").alias("ant_i"), F.expr(f"cast(id % {ANT} as int)").alias("ant_j")).where("ant_j <= ant_i")
+    at = lambda k: geometry(spark).select(F.col("ant").alias(f"ant_{k}"), F.col("e").alias(f"e_{k}"), F.col("n").alias(f"n_{k}"))
+    rows = pair.join(at("i"), "ant_i").join(at("j"), "ant_j")
+    return rows.select("ant_i", "ant_j", (F.col("e_i") - F.col("e_j")).alias("u_m"), (F.col("n_i") - F.col("n_j")).alias("v_m"))
 
 
 def pixels(spark: SparkSession, n: int = 64) -> DataFrame:
