@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fringework.llm.common import shared_dir, stored
+from fringework.llm.common import drop_dir, shared_dir, stored
 from fringework.llm.components import components
 
 #: Buckets of up to so many fingerprints are verified by all bits at once; larger ones by midpoints.
@@ -113,7 +113,7 @@ def links(nodes: DataFrame, folder: str, bits: int = 2) -> DataFrame:
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
     buckets = stored(v.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), folder, "buckets")
     pairs = buckets.where("n = 2").where(near("a", "b")).select("a", "b")
-    more = stored(v.join(buckets.where("n > 2").select("slot", "key", "n"), ["slot", "key"]).select("slot", "key", "n", "fp"), folder, "members")
+    more = stored(v.join(buckets.where("n > 2").select("slot", "key", "n").hint("merge"), ["slot", "key"]).select("slot", "key", "n", "fp"), folder, "members")
     small = (
         more.where(F.col("n") <= SMALL_BUCKET).groupBy("slot", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
         .mapInArrow(lambda batches: _verified(batches, bits), "a bigint, b bigint")
@@ -153,6 +153,8 @@ def classes(docs: DataFrame, words: int = 3, bits: int = 2, seed: int = 42, text
     rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), folder, "rooted")
     lowest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), folder, "lowest")
     classed = stored(rooted.join(lowest, "root").select("fp", "component_id"), folder, "classes")
+    for name in ("nodes", "buckets", "members", "roots", "rooted", "lowest"):
+        drop_dir(docs.sparkSession, f"{folder}/{name}")
     return own.join(classed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -160,4 +162,4 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 2, text: str = "text",
     """docs without the rows whose class has a smaller doc_id; a row without doc_id stays, since nothing names it."""
     found = classes(docs, words, bits, text=text, doc_id=doc_id).where("doc_id > component_id")
     gone = stored(found.select(F.col("doc_id").alias("_gone")).distinct(), shared_dir(docs.sparkSession), "gone")
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[doc_id].cast("bigint") == gone["_gone"], "left_anti")
