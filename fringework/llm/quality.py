@@ -112,4 +112,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text:
     bad = judge(docs, labels, threshold, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bad = stored(bad, shared_dir(docs.sparkSession), "rejected")
     same = docs[doc_id].cast("bigint").eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_hash"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad.hint("merge"), same, "left_anti")  # one plan at every size
