@@ -9,6 +9,7 @@ which is smoothed by that of its suffix, which is smoothed by all pages'; all by
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from fringework.llm.common import shared_dir, stored
 from fringework.llm.urlfilter import parts
 
 BUCKETS = 1 << 15
-#: Labelled documents that the text models are fitted on at most (the first by hash of id), and languages.
-SAMPLE, LANGUAGES = 5000, 64
+#: Different words of a task that are counted before their n-grams are.
+WORDS_HELD = 1 << 18
 #: What a count of pages must reach to weigh as much as the level above; and what text is worth against the rest.
 KAPPA, TEXT_WEIGHT = 20.0, 0.2
 _TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
@@ -45,39 +46,54 @@ def host_levels(url: str | None) -> tuple[str, str, str]:
 
 def counts(text: str | None) -> np.ndarray:
     """How often each bucket occurs: words, and trigrams of their letters."""
-    out: dict[bytes, int] = {}
-    for word in (text or "").lower().encode("utf-8").split():
-        out[word] = out.get(word, 0) + 1
-    total = np.zeros(BUCKETS, np.int32)
-    for word, n in out.items():
+    total = np.zeros(BUCKETS, np.int64)
+    _add(Counter((text or "").lower().encode("utf-8").split()), total)
+    return total
+
+
+def _add(words: Counter, total: np.ndarray) -> None:
+    """Adds the buckets of counted words to total."""
+    for word, n in words.items():
         total[xxhash.xxh64_intdigest(word) % BUCKETS] += n
         edge = b"^" + word + b"$"
         for i in range(len(edge) - 2):
             total[xxhash.xxh64_intdigest(edge[i : i + 3], 1) % BUCKETS] += n
-    return total
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability of each bucket for each); from SAMPLE labelled documents."""
-    d = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[lang].alias("lang"), docs[text].alias("text")).where("lang is not null and lang <> ''")
-    names = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    chosen = d.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    d = d.join(F.broadcast(chosen), "id", "left_semi").select("lang", "text")
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """(languages, log-probability of each bucket for each); from all labelled documents, in all their languages.
 
-    def run(batches):
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if name in names:
-                    total[name] = total.get(name, 0) + counts(t).astype(np.int64)
-        for name, n in total.items():
+    The driver and each worker hold 128 kB for a language, however many documents there are.
+    """
+    d = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).where("lang is not null and lang <> ''")
+    names = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+
+    def summed(words: dict[str, Counter]):
+        for name, w in words.items():
+            n = np.zeros(BUCKETS, np.int64)
+            _add(w, n)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    n = np.zeros((len(names), BUCKETS))
+    def run(batches):
+        words: dict[str, Counter] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words.setdefault(name, Counter()).update((t or "").lower().encode("utf-8").split())
+                if sum(map(len, words.values())) > WORDS_HELD:
+                    yield from summed(words)
+                    words = {}
+        yield from summed(words)
+
+    w, seen = np.zeros((len(names), BUCKETS), np.float32), {name: i for i, name in enumerate(names)}
     for r in d.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        n[names.index(r.lang), r.bucket] = r.n  # LANGUAGES x BUCKETS at most
-    return names, np.log((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True)).astype(np.float32) if names else n.astype(np.float32)
+        w[seen[r.lang], r.bucket] = r.n  # a row for each language and bucket at most
+    for i in range(len(names)):
+        n = w[i].astype(np.float64) + 0.5
+        w[i] = np.log(n / n.sum())
+    return names, w
 
 
 def judge(pages: DataFrame, names: list[str], weights: np.ndarray, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
@@ -110,25 +126,26 @@ def judge(pages: DataFrame, names: list[str], weights: np.ndarray, url: str = "u
         return d.select("page_id", F.lit(None).cast("string").alias("lang"), "declared", "suffix", "host", F.lit(None).cast("double").alias("share"))
     k = len(names)
     d = d.withColumn("guess", F.array_position("ll", F.array_max("ll")).cast("int") - 1)
-    one = [F.sum((F.col("guess") == i).cast("bigint")).alias(f"n{i}") for i in range(k)]
-    every = [F.col(f"n{i}") for i in range(k)]
 
     def level(*by):
-        return d.groupBy(*by).agg(*one)
-
-    top = d.agg(*one).first()
-    flat = [((top[i] or 0) + 1.0) / (sum(x or 0 for x in top) + k) for i in range(k)]
-    smooth = lambda above: F.array(*[(c + KAPPA * above[i]) / (sum(every[1:], every[0]) + KAPPA) for i, c in enumerate(every)])
+        """For each value of by how many pages are guessed to be in each language (every), and how many in all (n)."""
+        n = d.groupBy(*by, "guess").agg(F.count("*").alias("n"))
+        n = n.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("m"), F.sum("n").alias("n"))
+        return n.select(*by, "n", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("every"))
+
+    top = {r.guess: r["count"] for r in d.groupBy("guess").count().collect()}  # a row for each language at most
+    flat = F.array(*[F.lit((top.get(i, 0) + 1.0) / (sum(top.values()) + k)) for i in range(k)])
+    smooth = lambda above: F.zip_with("every", above, lambda c, p: (c + KAPPA * p) / (F.col("n") + KAPPA))
     # how often a declaration or a suffix goes with a language, against how often it is there at all
-    lift = lambda n: F.array(*[F.log((c + KAPPA * F.lit(flat[i])) / (sum(every[1:], every[0]) + KAPPA) / F.lit(flat[i])) for i, c in enumerate(every)])
-    said = stored(level("declared").select("declared", F.when(F.col("declared") != "", lift("declared")).otherwise(F.array(*[F.lit(0.0)] * k)).alias("by_said")), folder, "said")
-    suffix = stored(level("suffix").select("suffix", smooth([F.lit(x) for x in flat]).alias("p_suffix"), lift("suffix").alias("by_suffix")), folder, "suffix")
+    lift = F.zip_with("every", flat, lambda c, p: F.log((c + KAPPA * p) / (F.col("n") + KAPPA) / p))
+    said = stored(level("declared").select("declared", F.when(F.col("declared") != "", lift).otherwise(F.array_repeat(F.lit(0.0), k)).alias("by_said")), folder, "said")
+    suffix = stored(level("suffix").select("suffix", smooth(flat).alias("p_suffix"), lift.alias("by_suffix")), folder, "suffix")
     domain = level("suffix", "domain").join(suffix, "suffix")
-    domain = stored(domain.select("domain", "by_suffix", smooth([F.col("p_suffix")[i] for i in range(k)]).alias("p_domain")), folder, "domain")
+    domain = stored(domain.select("domain", "by_suffix", smooth(F.col("p_suffix")).alias("p_domain")), folder, "domain")
     host = level("domain", "host").join(domain, "domain")
-    host = stored(host.select("host", "by_suffix", F.transform(smooth([F.col("p_domain")[i] for i in range(k)]), lambda x: F.log(x)).alias("by_host")), folder, "host")
+    host = stored(host.select("host", "by_suffix", F.transform(smooth(F.col("p_domain")), lambda x: F.log(x)).alias("by_host")), folder, "host")
     d = d.join(said, "declared").join(host, "host")
-    total = F.array(*[F.round(F.col("ll")[i] / 1e6 * TEXT_WEIGHT + F.col("by_said")[i] + F.col("by_suffix")[i] + F.col("by_host")[i], 6) for i in range(k)])
+    total = F.transform("ll", lambda x, i: F.round(x / 1e6 * TEXT_WEIGHT + F.get("by_said", i) + F.get("by_suffix", i) + F.get("by_host", i), 6))
     d = d.withColumn("total", total).withColumn("best", F.array_max("total"))
     share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
     lang = F.element_at(F.array(*map(F.lit, names)), F.array_position("total", F.col("best")).cast("int"))

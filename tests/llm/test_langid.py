@@ -65,3 +65,16 @@ def test_without_languages(spark):
     names, w = langid.fit(docs)
     pages = spark.createDataFrame([(1, "http://a.b/", "<p>x")], "page_id bigint, url string, html string")
     assert names == [] and langid.judge(pages, names, w).first().lang is None
+
+
+def test_every_language_has_a_model(spark):
+    """70 languages, and a rare one with a single document among thousands."""
+    word = lambda i, j: chr(97 + i % 26) * 2 + chr(97 + i // 26) * 2 + chr(97 + j) * 2
+    rows = [(i * 10 + c, f"l{i:02d}", " ".join(word(i, j) for j in range(10))) for i in range(70) for c in range(3)]
+    rows += [(1000 + c, "l00", " ".join(word(0, j) for j in range(10))) for c in range(8000)]
+    rows += [(20_000, "rare", "qoqoqo wuwuwu")]
+    names, w = langid.fit(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert len(names) == 71 and all(row.std() > 0 for row in w)
+    pages = [(i, f"http://h{i}.x/", f"<p>{' '.join(word(i, j) for j in range(10))}") for i in range(70)] + [(99, "http://r.y/", "<p>qoqoqo wuwuwu")]
+    got = {r.page_id: r.lang for r in langid.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string"), names, w).collect()}
+    assert got == {i: f"l{i:02d}" for i in range(70)} | {99: "rare"}
