@@ -13,6 +13,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import math
 import uuid
 import zlib
 
@@ -21,10 +22,10 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fringework.llm.common import shared_dir, stored
+from fringework.llm.common import drop_dir, shared_dir, stored
 
-#: Captures in an index block, bytes after which a new archive begins, and bytes of records read together.
-BLOCK, ARCHIVE_BYTES = 2000, 256 << 20
+#: Captures in an index block, bytes after which a new archive begins, and bytes of records that a task reads.
+BLOCK, ARCHIVE_BYTES, READ_BYTES = 2000, 256 << 20, 128 << 20
 _DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -219,23 +220,52 @@ def lookup(folder: str, files: list[tuple[str, str]], url: str) -> list[bytes]:
     return found
 
 
-def read_all(files: DataFrame, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record that the index knows."""
+def read_keys(keys: DataFrame, files: DataFrame, captures: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record whose key is in keys(key).
+
+    Each different key is bisected into the index files' first keys and into a file's directory; a row for
+    each block that may hold it goes on, so that a key with very many captures is spread over its blocks.
+    There it is bisected into the block's lines, and the records found are read in order of their place,
+    in as many partitions as their bytes ask for.
+    """
+    names = sorted(map(tuple, files.select("first_key", "file").collect()))  # a row for each index file, of which a task writes one
+    first_keys = [k for k, _ in names]
 
     def blocks(batches):
-        reader = _Reader(f"{folder}/index")
+        reader, held = _Reader(f"{folder}/index"), ("", [], [])
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                for _, at, size in _directory(reader, name):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at]), pa.array([size])], ["file", "at", "size"])
+            out = []
+            for key in batch.column(0).to_pylist():
+                for begins, name in names[max(0, bisect.bisect_left(first_keys, key) - 1) :]:
+                    if begins > key:
+                        break
+                    if held[0] != name:
+                        entries = _directory(reader, name)
+                        held = (name, entries, [x[0] for x in entries])
+                    _, entries, starts = held
+                    for first, at, size in entries[max(0, bisect.bisect_left(starts, key) - 1) :]:
+                        if first > key:
+                            break
+                        out.append((name, at, size, key))
+                    if len(out) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["file", "at", "size", "key"])
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["file", "at", "size", "key"])
         reader.close()
 
-    def captures(batches):
-        reader = _Reader(f"{folder}/index")
+    def lines(batches):
+        reader, held = _Reader(f"{folder}/index"), (None, [], [])
         for batch in batches:
-            for place in zip(*(c.to_pylist() for c in batch.columns)):
-                _, file, at, size = zip(*_block(reader, *place))
-                yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(at), pa.array(size)], ["file", "at", "size"])
+            for name, at, size, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if held[0] != (name, at):
+                    block = _block(reader, name, at, size)
+                    held = ((name, at), block, [x[0] for x in block])
+                _, block, own = held
+                low, high = bisect.bisect_left(own, key), bisect.bisect_right(own, key)
+                if low < high:
+                    _, file, place, length = zip(*block[low:high])
+                    yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(place), pa.array(length)], ["file", "at", "size"])
         reader.close()
 
     def records(batches):
@@ -248,23 +278,37 @@ def read_all(files: DataFrame, folder: str) -> DataFrame:
                     page, of = w.get("Page-ID"), w.get("Refers-To-Page-ID")
                     size = len(payload) if w["WARC-Type"] == "response" else int(http["Content-Length"])
                     out.append((int(page) if page else None, size, w["WARC-Payload-Digest"][5:], w["WARC-Type"], int(of) if of else None))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         reader.close()
 
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    total = captures.agg(F.sum("size")).first()[0] or 0
+    n = max(keys.sparkSession.sparkContext.defaultParallelism, math.ceil(total / READ_BYTES))
     place = "file string, at bigint, size bigint"
-    found = files.select("file").mapInArrow(blocks, place).repartition("file", "at").mapInArrow(captures, place)
-    return found.repartitionByRange("file", "at").sortWithinPartitions("file", "at").mapInArrow(
+    asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    found = asked.mapInArrow(blocks, place + ", key string").repartition("file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(lines, place)
+    return found.repartitionByRange(n, "file", "at").sortWithinPartitions("file", "at").mapInArrow(
         records, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     )
 
 
 def round_trip(pages: DataFrame, least: int = 0, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
-    """Writes archives and index for pages and reads every record back through them.
+    """Writes archives and index for pages, looks every page's address up in the index and reads its records back.
 
     A row for each row of pages: (page_id, payload_bytes, payload_digest, record_type, refers_to).
     Null html is an empty payload, a null address has the empty key, null ids come back null.
     Other columns are ignored. An empty table writes nothing and gives an empty result.
     """
     folder = shared_dir(pages.sparkSession)
-    return read_all(index(write(pages, folder, least, url, html, page_id), folder), folder)
+    captures = write(pages, folder, least, url, html, page_id)
+    files = index(captures, folder)
+    for name in ("payloads", "first"):  # they are in the archives now
+        drop_dir(pages.sparkSession, f"{folder}/{name}")
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(surt, batch.column(0).to_pylist()), pa.string())], ["key"])
+
+    keys = pages.select(pages[url].cast("string").alias("url")).mapInArrow(keyed, "key string")
+    return read_keys(keys, files, captures, folder)
