@@ -4,6 +4,11 @@ An item of m bytes that stands in a text with at most e edits leaves at least m
 q-grams as they are, all on diagonals (place in the text less place in the item) that lie at most e
 apart. So hits are counted in bands of 2(e + 1) diagonals that overlap by half; bands with enough
 different q-grams are verified by an alignment that stays inside the band.
+
+Items of under 2 Q bytes are too short for grams of that length: from SHORT bytes on they have an index
+with grams of SHORT bytes (at 20 bytes one edit is allowed, and two such grams fit beside it). Below SHORT
+bytes an item is its own gram. Such short strings stand inside longer words by chance, so they only count
+where neither end lies inside a word.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from fringework.llm.spans import gram_hashes
 
-Q, RATE = 12, 0.05
+Q, RATE, SHORT = 12, 0.05, 8
+#: Bytes of a text that are looked at together, unless items are longer, and hits that are held at once.
+WINDOW, HELD = 1 << 18, 1 << 21
 #: Bytes of normalised items that are sent to the executors at once; more items go through in blocks of about this size.
 BLOCK_BYTES = 8 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -29,9 +36,17 @@ def normal(text: str | None) -> bytes:
     return _SPACE.sub(b" ", (text or "").lower().encode("utf-8", "ignore")).strip(b" ")
 
 
-def budget(m: int, q: int = Q, rate: float = RATE) -> int:
-    """Most edits for an item of m bytes: its share, as long as the lemma leaves a q-gram to find."""
-    return max(0, min(int(m * rate), m // q - 1))
+def budget(m: int, rate: float = RATE) -> int:
+    """Most edits for an item of m bytes: its share, rounded down."""
+    return int(m * rate)
+
+
+def gram_length(m: int, q: int = Q, rate: float = RATE) -> int:
+    """Length of the grams that find an item of m bytes; the lemma must leave at least one of them."""
+    for length in (q, min(q, SHORT)):
+        if m >= 2 * length * (length == q) and m + 1 - length * (budget(m, rate) + 1) >= 1:
+            return length
+    return max(1, m // (budget(m, rate) + 1))
 
 
 def _grams(data: bytes, q: int) -> np.ndarray:
@@ -62,67 +77,109 @@ def align(item: bytes, region: bytes, most: int) -> int | None:
     return least if least <= most else None
 
 
+def _word(byte: int) -> bool:
+    """Letters and digits; any byte of a character beyond ASCII counts as one."""
+    return byte > 127 or chr(byte).isalnum()
+
+
 class Items:
-    """An index of the items' q-grams."""
+    """An index of the items' q-grams; one for each length of grams."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int = Q, rate: float = RATE):
-        self.q = q
-        self.items = [(i, t) for i, t in items if t]
-        self.short: dict[bytes, list[int]] = {}
-        for i, t in self.items:
-            if len(t) < q:
-                self.short.setdefault(t, []).append(i)
-        sizes = [len(t) for _, t in self.items]
-        self.edits = np.array([budget(m, q, rate) for m in sizes], np.int64)
+        groups: dict[int, list[tuple[int, bytes]]] = {}
+        for i, t in items:
+            if t:
+                groups.setdefault(gram_length(len(t), q, rate), []).append((i, t))
+        self.groups = [_Grams(group, length, rate) for length, group in sorted(groups.items())]
+
+    def find(self, text: bytes) -> list[tuple[int, int]]:
+        """(item_id, edits) of the items that stand in a normalised text; an item once, with its fewest edits."""
+        return [x for group in self.groups for x in group.find(text)]
+
+
+class _Grams:
+    def __init__(self, items: list[tuple[int, bytes]], q: int, rate: float):
+        self.q, self.items = q, items
+        sizes = [len(t) for _, t in items]
+        self.edits = np.array([budget(m, rate) for m in sizes], np.int64)
         self.least = np.array([m + 1 - q * (e + 1) for m, e in zip(sizes, self.edits.tolist())], np.int64)
-        grams = [_grams(t, q) for _, t in self.items]
-        g = np.concatenate([*grams, np.empty(0, np.uint64)])
+        self.reach = max(sizes) + int(self.edits.max())
+        grams = [_grams(t, q) for _, t in items]
+        g = np.concatenate(grams)
         order = np.argsort(g, kind="stable")
-        self.gram, first, self.count = np.unique(g[order], return_index=True, return_counts=True)
-        self.first = first
+        self.gram, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
         self.of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order]
-        self.at = np.concatenate([*(np.arange(len(x)) for x in grams), np.empty(0, np.int64)]).astype(np.int64)[order]
+        self.at = np.concatenate([np.arange(len(x)) for x in grams]).astype(np.int64)[order]
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[self.gram >> np.uint64(64 - _BITS)] = True
 
     def find(self, text: bytes) -> list[tuple[int, int]]:
-        """(item_id, edits) of the items that stand in a normalised text."""
-        out = [(i, 0) for i in self.short.get(text, ())]
+        best: dict[int, int] = {}
+        step = max(WINDOW, self.reach)
+        for at in range(0, max(1, len(text) - self.reach), step):  # windows overlap by the longest match
+            end = at + step + self.reach + 1  # and show a byte more on either side
+            self._window(text[max(0, at - 1) : end], best, int(at > 0), int(end < len(text)))
+        return [(self.items[k][0], e) for k, e in sorted(best.items())]
+
+    def _hits(self, place: np.ndarray, slot: np.ndarray):
+        """(item, place in the item, diagonal) of all hits, about HELD at a time."""
+        n = self.count[slot]
+        cuts = np.searchsorted(np.cumsum(n), np.arange(HELD, int(n.sum()), HELD)) if len(n) else []
+        for a, z in zip([0, *cuts], [*cuts, len(n)]):
+            if a < z:
+                m = n[a:z]
+                which = np.repeat(self.first[slot[a:z]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                i = self.at[which]
+                yield self.of[which], i, np.repeat(place[a:z], m) - i
+
+    def _window(self, text: bytes, best: dict[int, int], before: int, after: int) -> None:
         g = _grams(text, self.q)
         place = np.flatnonzero(self.bits[g >> np.uint64(64 - _BITS)])
         if not len(place):
-            return out
-        slot = np.searchsorted(self.gram, g[place])
-        slot = np.minimum(slot, len(self.gram) - 1)
+            return
+        slot = np.minimum(np.searchsorted(self.gram, g[place]), len(self.gram) - 1)
         real = self.gram[slot] == g[place]
         place, slot = place[real], slot[real]
-        n = self.count[slot]
-        which = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item, i = self.of[which], self.at[which]
-        enough = np.bincount(item, minlength=len(self.items)) >= self.least  # before bands: hits anywhere
-        use = enough[item]
-        item, i, diagonal = item[use], i[use], np.repeat(place, n)[use] - i[use]
-        for k in np.unique(item).tolist():
-            mine = item == k
-            best = self._bands(k, i[mine], diagonal[mine], text)
-            if best is not None:
-                out.append((self.items[k][0], best))
-        return out
-
-    def _bands(self, k: int, i: np.ndarray, diagonal: np.ndarray, text: bytes) -> int | None:
+        total = np.zeros(len(self.items), np.int64)
+        for item, _, _ in self._hits(place, slot):
+            total += np.bincount(item, minlength=len(self.items))
+        enough = total >= self.least  # before bands: hits anywhere
+        if not enough.any():
+            return
+        w = self.edits + 1
+        found = np.empty((3, 0), np.int64)  # item, band, place in the item; a q-gram counts once in a band
+        for item, i, diagonal in self._hits(place, slot):
+            use = enough[item]
+            item, i, diagonal = item[use], i[use], diagonal[use]
+            band = diagonal // w[item]  # band b holds diagonals from b * w to b * w + 2 * w - 1
+            new = np.stack((np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((i, i))))
+            found = np.unique(np.concatenate((found, new), axis=1), axis=1)
+        edge = np.flatnonzero(np.diff(found[0], prepend=-1))
+        for a, z in zip(edge, [*edge[1:], found.shape[1]]):
+            k = int(found[0, a])
+            e = self._bands(k, found[1, a:z], text, best.get(k), before, len(text) - after)
+            if e is not None:
+                best[k] = e
+
+    def _bands(self, k: int, band: np.ndarray, text: bytes, best: int | None, low: int, high: int) -> int | None:
+        """Fewest edits of item k in its bands, if fewer than best. Bytes before low and from high on only show borders."""
         data, most = self.items[k][1], int(self.edits[k])
-        w = most + 1
-        band = np.concatenate((diagonal // w, diagonal // w - 1))  # band b holds diagonals from b * w to b * w + 2 * w - 1
-        pair = np.unique(np.stack((band, np.concatenate((i, i)))), axis=1)  # a q-gram counts once in a band
-        bands, hits = np.unique(pair[0], return_counts=True)
-        best = None
+        w, least = most + 1, None
+        bands, hits = np.unique(band, return_counts=True)
         for b in bands[hits >= self.least[k]].tolist():
-            a = max(0, b * w - most)
-            found = align(data, text[a : max(a, b * w + 2 * w + len(data) + most)], most if best is None else best - 1)
-            best = found if found is not None else best
-            if best == 0:
+            if 0 in (best, least):
                 break
-        return best
+            if len(data) < SHORT and not most:  # a diagonal of the band is a match if its bytes are equal
+                for a in (b, b + 1):
+                    z = a + len(data)
+                    if low <= a and z <= high and text[a:z] == data and not (a and _word(text[a - 1]) and _word(data[0])) and not (z < len(text) and _word(text[z]) and _word(data[-1])):
+                        least = 0
+                continue
+            a = max(0, b * w - most)
+            fewer = min(x for x in (most, None if best is None else best - 1, None if least is None else least - 1) if x is not None)
+            e = align(data, text[a : max(a, b * w + 2 * w + len(data) + most)], fewer)
+            least = e if e is not None else least
+        return least
 
 
 def _blocks(benchmark: DataFrame, text: str, item_id: str):
@@ -137,9 +194,11 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str):
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, edits): a row for each item that stands in a row of docs with at most ``rate`` of its bytes edited.
 
-    Both are normalised first. An item shorter than q is found only as a whole text. Null and empty
-    texts hold nothing and null or empty items are nowhere; null ids are carried along; repeated
-    rows are found as often as they are there. The documents are passed over once for each block of items.
+    Both are normalised first. The share is rounded down, so items of under 20 bytes have to stand there as
+    they are, those of under SHORT bytes also with no letter or digit next to one of their own at either end.
+    Null and empty texts hold nothing and null or empty items are nowhere; null ids are carried along; repeated
+    rows, and repeated items, are found as often as they are there. A very long text is looked at in windows.
+    The documents are passed over once for each block of items.
     """
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     out = None

@@ -38,10 +38,38 @@ def test_found_as_by_brute_force(q, rate):
     for _ in range(60):
         k, item = rng.choice(items)
         text = new(rng.randrange(80)) + edited(rng, item, rng.randrange(12)) + new(rng.randrange(80))
-        want = {(i, e) for i, t in items if (e := least_edits(t, text)) <= dc.budget(len(t), q, rate)}
+        want = {(i, e) for i, t in items if (e := least_edits(t, text)) <= dc.budget(len(t), rate)}
         assert set(index.find(text)) == want
 
 
+@pytest.mark.parametrize("window", [1, 40, 1 << 18])
+def test_short_items_and_windows(monkeypatch, window):
+    """Items from one byte on, in texts of many windows, with hits in small lots: as by brute force."""
+    monkeypatch.setattr(dc, "WINDOW", window)
+    monkeypatch.setattr(dc, "HELD", 50)
+    rng = random.Random(window)
+    new = lambda n: dc.normal("".join(rng.choice("aab ") for _ in range(n)))
+    items = [(m, t) for m in (1, 2, 3, 5, 7, 8, 9, 15, 19, 20, 23, 24, 25, 40, 61) if (t := new(m))]
+    index = dc.Items(items + items[:2])
+    for _ in range(25):
+        text = dc.normal(b"".join(rng.choice([new(rng.randrange(60)), edited(rng, t := rng.choice(items)[1], min(rng.randrange(3), len(t) - 1)), b" ", b"x"]) for _ in range(6)).decode())
+        want = []
+        for i, t in items + items[:2]:
+            if len(t) < dc.SHORT:
+                places = [a for a in range(len(text)) if text.startswith(t, a)]
+                part = lambda a, b: text[a : a + 1].isalnum() and text[b : b + 1].isalnum()
+                if any(not (a and part(a - 1, a)) and not part(a + len(t) - 1, a + len(t)) for a in places):
+                    want.append((i, 0))
+            elif (e := least_edits(t, text)) <= dc.budget(len(t)):
+                want.append((i, e))
+        assert sorted(index.find(text)) == sorted(want)
+
+
+def test_very_long_text_of_one_gram():
+    """Every gram of the text hits every gram of the item."""
+    assert dc.Items([(1, b"a" * 300)]).find(b"a" * 20_000) == [(1, 0)] and dc.Items([(1, b"of peru")]).find(b"x" * 9 + b" of peru, " + b"y" * 9) == [(1, 0)]
+
+
 def test_operator(spark, monkeypatch):
     item = "The quick brown fox jumps over the lazy dog and then it sleeps for a very long time."
     bench = spark.createDataFrame([(1, item, "a"), (2, None, "b"), (3, "", "c"), (4, "Short", "d"), (5, item.upper(), "e")], "item_id bigint, text string, doc_id string")
