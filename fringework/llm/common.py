@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
+_folders: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see.
+    """A new folder below spark.checkpoint.dir, which all executors see; it goes when the driver ends.
 
-    Where the setting is absent (tests on one machine), /tmp/checkpoints stands in for it.
+    What a result still reads can't go earlier, since results are lazy; release() takes all folders at
+    once. Where the setting is absent, /tmp/checkpoints stands in for it, on a local master only.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
         root = "file:///tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/fringework-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/fringework-{uuid.uuid4().hex}"
+    path, system = _hadoop(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    _folders.append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every folder that shared_dir() has given; results that have not been written down can't be read any more."""
+    while _folders:
+        drop_dir(spark, _folders.pop())
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -40,6 +55,10 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Deletes what stored() wrote, through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, system = _hadoop(spark, path)
+    system.delete(p, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
