@@ -1,9 +1,10 @@
 """Language of web pages by Bayesian fusion of four kinds of evidence.
 
 The text's likelihood under hashed n-gram models, the language that the markup declares, the
-address's suffix, and a prior of its host. Declarations and suffixes count by how often they go with
-the text's language. A host's prior is its own share of languages, smoothed by that of its domain,
-which is smoothed by that of its suffix, which is smoothed by all pages'; all by grouped counts.
+address's suffix, and a prior of its host. A declaration counts by how often it goes with the text's
+language. The suffix enters once, as a level of the prior: a host's prior is the share of languages
+on its other pages, smoothed by that of its domain, which is smoothed by that of its suffix, which is
+smoothed by all pages'; all by grouped counts, from which a page's own guess is taken out again.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from fringework.llm.urlfilter import parts
 BUCKETS = 1 << 15
 #: Different words of a task that are counted before their n-grams are.
 WORDS_HELD = 1 << 18
-#: What a count of pages must reach to weigh as much as the level above; and what text is worth against the rest.
-KAPPA, TEXT_WEIGHT = 20.0, 0.2
+#: How many other pages a level must have to weigh as much as the level above: fewer say little about a host.
+KAPPA = 20.0
+#: A text's n-grams overlap and repeat, so that they are not evidence as of their number: the mean of a text counts as that of
+#: at most TEXT_GRAMS n-grams, each worth TEXT_WEIGHT of an independent one (an n-gram shares its bytes with four others).
+TEXT_GRAMS, TEXT_WEIGHT = 100, 0.2
 _TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
 
@@ -115,7 +119,7 @@ def judge(pages: DataFrame, names: list[str], weights: np.ndarray, url: str = "u
                 for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     c = counts(visible(h))
                     k = np.flatnonzero(c)
-                    ll = (w[:, k].astype(np.float64) @ c[k]) / max(1, c.sum()) * min(100, c.sum())  # long texts don't drown the rest
+                    ll = (w[:, k].astype(np.float64) @ c[k]) / max(1, c.sum()) * min(TEXT_GRAMS, c.sum())
                     out.append((*host_levels(u), declared(h), np.round(ll * 1e6).astype(np.int64).tolist()))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], ["page_id", "host", "domain", "suffix", "declared", "ll"])
@@ -135,17 +139,23 @@ def judge(pages: DataFrame, names: list[str], weights: np.ndarray, url: str = "u
 
     top = {r.guess: r["count"] for r in d.groupBy("guess").count().collect()}  # a row for each language at most
     flat = F.array(*[F.lit((top.get(i, 0) + 1.0) / (sum(top.values()) + k)) for i in range(k)])
-    smooth = lambda above: F.zip_with("every", above, lambda c, p: (c + KAPPA * p) / (F.col("n") + KAPPA))
-    # how often a declaration or a suffix goes with a language, against how often it is there at all
-    lift = F.zip_with("every", flat, lambda c, p: F.log((c + KAPPA * p) / (F.col("n") + KAPPA) / p))
-    said = stored(level("declared").select("declared", F.when(F.col("declared") != "", lift).otherwise(F.array_repeat(F.lit(0.0), k)).alias("by_said")), folder, "said")
-    suffix = stored(level("suffix").select("suffix", smooth(flat).alias("p_suffix"), lift.alias("by_suffix")), folder, "suffix")
-    domain = level("suffix", "domain").join(suffix, "suffix")
-    domain = stored(domain.select("domain", "by_suffix", smooth(F.col("p_suffix")).alias("p_domain")), folder, "domain")
+    said = stored(level("declared").select("declared", F.struct("n", "every").alias("said")), folder, "said")
+    suffix = stored(level("suffix").select("suffix", F.struct("n", "every").alias("in_suffix")), folder, "suffix")
+    domain = stored(level("suffix", "domain").join(suffix, "suffix").select("domain", "in_suffix", F.struct("n", "every").alias("in_domain")), folder, "domain")
     host = level("domain", "host").join(domain, "domain")
-    host = stored(host.select("host", "by_suffix", F.transform(smooth(F.col("p_domain")), lambda x: F.log(x)).alias("by_host")), folder, "host")
+    host = stored(host.select("host", "in_suffix", "in_domain", F.struct("n", "every").alias("in_host")), folder, "host")
     d = d.join(said, "declared").join(host, "host")
-    total = F.transform("ll", lambda x, i: F.round(x / 1e6 * TEXT_WEIGHT + F.get("by_said", i) + F.get("by_suffix", i) + F.get("by_host", i), 6))
+
+    def others(counts: str, above):
+        """What the other pages of a level say, smoothed by the level above: the page's own guess doesn't count."""
+        c = F.col(counts)
+        return F.zip_with(F.transform(c["every"], lambda x, i: x - (i == F.col("guess")).cast("int")), above, lambda x, p: (x + KAPPA * p) / (c["n"] - 1 + KAPPA))
+
+    d = d.withColumn("prior", others("in_suffix", flat)).withColumn("prior", others("in_domain", F.col("prior"))).withColumn("prior", others("in_host", F.col("prior")))
+    # how often a declaration goes with a language, against how often the language is there at all
+    lift = F.when(F.col("declared") != "", F.zip_with(others("said", flat), flat, lambda x, p: F.log(x / p))).otherwise(F.array_repeat(F.lit(0.0), k))
+    d = d.withColumn("by_said", lift)
+    total = F.zip_with(F.zip_with("ll", "by_said", lambda x, s: x / 1e6 * TEXT_WEIGHT + s), "prior", lambda x, p: F.round(x + F.log(p), 6))
     d = d.withColumn("total", total).withColumn("best", F.array_max("total"))
     share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
     lang = F.element_at(F.array(*map(F.lit, names)), F.array_position("total", F.col("best")).cast("int"))

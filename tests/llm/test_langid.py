@@ -27,20 +27,20 @@ def brute(rows, names, w):
     for p, u, h in rows:
         c = langid.counts(langid.visible(h))
         at = np.flatnonzero(c)
-        ll = np.round((w[:, at].astype(float) @ c[at]) / max(1, c.sum()) * min(100, c.sum()) * 1e6)
+        ll = np.round((w[:, at].astype(float) @ c[at]) / max(1, c.sum()) * min(langid.TEXT_GRAMS, c.sum()) * 1e6)
         seen.append((p, *langid.host_levels(u), langid.declared(h), ll / 1e6, int(ll.argmax())))
     n = lambda f: np.bincount([s[6] for s in seen if f(s)], minlength=k)
     flat = (n(lambda s: True) + 1) / (len(seen) + k)
     K = langid.KAPPA
     up = lambda c, above: (c + K * above) / (c.sum() + K)
     out = []
-    for p, host, domain, suffix, said, ll, _ in seen:
-        at_suffix = n(lambda s: s[3] == suffix)
-        p_suffix = up(at_suffix, flat)
-        p_domain = up(n(lambda s: (s[2], s[3]) == (domain, suffix)), p_suffix)
-        p_host = up(n(lambda s: (s[1], s[2]) == (host, domain)), p_domain)
-        by_said = np.log(up(n(lambda s: s[4] == said), flat) / flat) if said else 0
-        total = np.round(ll * langid.TEXT_WEIGHT + by_said + np.log(p_suffix / flat) + np.log(p_host), 6)
+    for p, host, domain, suffix, said, ll, guess in seen:
+        own = np.eye(k, dtype=int)[guess]
+        prior = up(n(lambda s: s[3] == suffix) - own, flat)
+        prior = up(n(lambda s: (s[2], s[3]) == (domain, suffix)) - own, prior)
+        prior = up(n(lambda s: (s[1], s[2]) == (host, domain)) - own, prior)
+        by_said = np.log(up(n(lambda s: s[4] == said) - own, flat) / flat) if said else 0
+        total = np.round(ll * langid.TEXT_WEIGHT + by_said + np.log(prior), 6)
         out.append((p, names[int(total.argmax())], said, suffix, host, round(float(1 / np.exp(total - total.max()).sum()), 6)))
     return out
 
