@@ -13,19 +13,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Antennas above which correlate() takes the block form by itself, and samples of one block.
-MANY, BLOCK = 48, 256
+from fringework.operators import tiles
+
+#: Antennas, columns or beams above which the block form is taken, and bytes of the samples of one block.
+MANY, BLOCK_BYTES = 48, 8 << 20
+
+
+def _counted(d: DataFrame, *names: str) -> int:
+    """How many different values the columns have together, about; one small aggregation. Streams aren't counted."""
+    return 0 if d.isStreaming else d.agg(F.approx_count_distinct(F.struct(*names))).first()[0]
+
+
+def _form(form: str | None, n: int) -> str:
+    if form not in (None, "relational", "block"):
+        raise ValueError("form must be relational or block")
+    return form or ("block" if n > MANY else "relational")
 
 
 def correlate(v: DataFrame, batch: Sequence[str] = ("chan", "pol", "t_inner"), time: str = "k", form: str | None = None, n_ant: int | None = None) -> DataFrame:
     """(batch, ant_i, ant_j, re, im), ant_j <= ant_i: the sum over time of A_i times the conjugate of A_j.
 
-    v has batch, time, ant, re, im, one row for each. Missing samples count as zero. The rows of
-    one (batch, time) are brought together once: there are no more of them than antennas.
+    v has batch, time, ant, re, im, one row for each. Missing samples count as zero. The relational form
+    brings the rows of one (batch, time) together, no more of them than antennas, and makes a row for each
+    pair; the block form, taken by itself above MANY antennas (counted where n_ant is not given), multiplies
+    blocks of times of BLOCK_BYTES as matrices.
     """
-    form = form or ("block" if (n_ant or 0) > MANY else "relational")
-    if form == "block":
-        return _correlate_blocks(v, list(batch), time)
+    n = (n_ant or _counted(v, "ant")) if form is None or form == "block" else 0
+    if _form(form, n) == "block":
+        return _correlate_blocks(v, list(batch), time, ["ant"], n)
     at = v.groupBy(*batch, time).agg(F.array_sort(F.collect_list(F.struct("ant", "re", "im"))).alias("a"))
     rows = at.select(*batch, "a", F.posexplode("a").alias("p", "i"))
     rows = rows.select(*batch, "i", F.explode(F.slice("a", 1, F.col("p") + 1)).alias("j"))
@@ -34,33 +49,42 @@ def correlate(v: DataFrame, batch: Sequence[str] = ("chan", "pol", "t_inner"), t
     return rows.groupBy(*batch, "ant_i", "ant_j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def _correlate_blocks(v: DataFrame, batch: list[str], time: str) -> DataFrame:
-    """A matrix product for each batch and BLOCK times, then a sum of the few results."""
+def _correlate_blocks(v: DataFrame, batch: list[str], time: str, inputs: list[str], n: int) -> DataFrame:
+    """A matrix product for each batch and block of times, then a sum of the few results. inputs: ant, or ant and pol."""
     kinds = {f.name: f.dataType.simpleString() for f in v.schema.fields}
-    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in ("re", "im"))
+    whole = all(kinds[c] in tiles.WHOLE for c in ("re", "im"))
     number = "bigint" if whole else "double"
-    out = ", ".join(f"{c} {kinds[c]}" for c in batch) + f", ant_i {kinds['ant']}, ant_j {kinds['ant']}, re {number}, im {number}"
+    pair = [f"{c}_{side}" for c in inputs for side in "ij"]
+    out = ", ".join([f"`{c}` {kinds[c]}" for c in batch] + [f"{c} {kinds[c[:-2]]}" for c in pair]) + f", re {number}, im {number}"
+    block = max(1, BLOCK_BYTES // (16 * max(1, n)))
 
     def product(key, table: pa.Table) -> pa.Table:
-        t, a = table[time].to_numpy(), table["ant"].to_numpy()
-        times, ti = np.unique(t, return_inverse=True)
-        ants, ai = np.unique(a, return_inverse=True)
-        x = np.zeros((len(times), len(ants)), np.complex128)
-        np.add.at(x, (ti, ai), table["re"].to_numpy() + 1j * table["im"].to_numpy())
+        times, ti = np.unique(table[time].to_numpy(), return_inverse=True)
+        at, values = tiles.places(table, inputs)
+        x = tiles.dense(table, ti, at, (len(times), len(values[0])), "re", "im")
         c = x.T @ x.conj()
-        i, j = np.tril_indices(len(ants))
-        got = c[i, j]
-        re, im = (np.rint(got.real).astype(np.int64), np.rint(got.imag).astype(np.int64)) if whole else (got.real, got.imag)
-        cols = {n: pa.array([k.as_py()] * len(i), table[n].type) for n, k in zip(batch, key)}
-        return pa.table(cols | {"ant_i": pa.array(ants[i], table["ant"].type), "ant_j": pa.array(ants[j], table["ant"].type), "re": re, "im": im})
-
-    part = v.select(*batch, time, "ant", "re", "im", F.floor(F.col(time) / BLOCK).alias("_block")).groupBy(*batch, "_block")
+        i, j = (a.ravel() for a in np.indices(c.shape))
+        ant = values[0].to_numpy()
+        ok = ant[j] <= ant[i]
+        if len(inputs) > 1:
+            pol = values[1].to_numpy()
+            ok &= pol[i] != pol[j]
+        i, j = i[ok], j[ok]
+        re, im = tiles.parted(c[i, j], whole)
+        cols = {name: pa.array([k.as_py()] * len(i), table[name].type) for name, k in zip(batch, key)}
+        cols |= {f"{name}_{side}": v.take(pa.array(at)) for name, v in zip(inputs, values) for side, at in (("i", i), ("j", j))}
+        return pa.table(cols | {"re": re, "im": im})
+
+    part = v.select(*batch, time, *inputs, "re", "im", F.floor(F.col(time) / block).alias("_block")).groupBy(*batch, "_block")
     done = part.applyInArrow(lambda key, table: product(key[:-1], table), out)
-    return done.groupBy(*batch, "ant_i", "ant_j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return done.groupBy(*batch, *pair).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def cross_polar(v: DataFrame, batch: Sequence[str] = ("chan",), time: str = "t") -> DataFrame:
-    """(batch, ant_i, ant_j, pol_i, pol_j, re, im) for different polarisations, ant_j <= ant_i."""
+def cross_polar(v: DataFrame, batch: Sequence[str] = ("chan",), time: str = "t", form: str | None = None, n_ant: int | None = None) -> DataFrame:
+    """(batch, ant_i, ant_j, pol_i, pol_j, re, im) for different polarisations, ant_j <= ant_i; forms as in correlate()."""
+    n = (n_ant or _counted(v, "ant")) if form is None or form == "block" else 0
+    if _form(form, n) == "block":
+        return _correlate_blocks(v, list(batch), time, ["ant", "pol"], 2 * n).select(*batch, "ant_i", "ant_j", "pol_i", "pol_j", "re", "im")
     at = v.groupBy(*batch, time).agg(F.collect_list(F.struct("ant", "pol", "re", "im")).alias("a"))
     rows = at.select(*batch, "a", F.explode("a").alias("i")).select(*batch, "i", F.explode("a").alias("j")).where("j.ant <= i.ant and j.pol <> i.pol")
     ir, ii, jr, ji = (F.col(x) for x in ("i.re", "i.im", "j.re", "j.im"))
@@ -83,18 +107,23 @@ def _operand(m: DataFrame, op: str, row: str, col: str, names: tuple[str, str])
     return m.select(*rest, F.col(a).alias(names[0]), F.col(b).alias(names[1]), "re", (-F.col("im") if op == "C" else F.col("im")).alias("im"))
 
 
-def gemm(a: DataFrame, b: DataFrame, op_a: str = "N", op_b: str = "N", alpha: complex = 1, beta: complex = 0, c: DataFrame | None = None, batch: str | None = "b", broadcast_b: bool = False) -> DataFrame:
+def gemm(a: DataFrame, b: DataFrame, op_a: str = "N", op_b: str = "N", alpha: complex = 1, beta: complex = 0, c: DataFrame | None = None, batch: str | None = "b", form: str | None = None, most_rows_sent: int = 0) -> DataFrame:
     """(batch, i, j, re, im) = alpha op(A) op(B) + beta C for a(b, i, k), b(b, k, j), c(b, i, j).
 
     op is about the stored axes: with T or C a is stored as (k, i). If b has no batch column the same
-    matrix serves every batch. broadcast_b: the caller knows that b is small enough to be sent whole.
+    matrix serves every batch. The relational form joins on k; the block form, taken by itself for more
+    than MANY columns, multiplies tiles. b is sent whole only if it has at most ``most_rows_sent`` rows.
     """
     x = _operand(a, op_a, "i", "k", ("i", "k")).select("b", "i", "k", F.col("re").alias("ar"), F.col("im").alias("ai"))
     own = [batch] if batch and batch in b.columns else []
     y = _operand(b, op_b, "k", "j", ("k", "j")).select(*own, "k", "j", F.col("re").alias("br"), F.col("im").alias("bi"))
-    rows = x.join(F.broadcast(y) if broadcast_b else y, [*own, "k"])
-    re, im = F.sum(F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")), F.sum(F.col("ar") * F.col("bi") + F.col("ai") * F.col("br"))
-    out = rows.groupBy("b", "i", "j").agg(re.alias("re"), im.alias("im"))
+    if _form(form, _counted(y, "j") if form is None else 0) == "block":
+        out = tiles.product(x, y, own, [n for n in ("b", "i") if n not in own], "k", ["j"]).select("b", "i", "j", "re", "im")
+    else:
+        sent = most_rows_sent and y.limit(most_rows_sent + 1).count() <= most_rows_sent
+        rows = x.join(F.broadcast(y) if sent else y, [*own, "k"])
+        re, im = F.sum(F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")), F.sum(F.col("ar") * F.col("bi") + F.col("ai") * F.col("br"))
+        out = rows.groupBy("b", "i", "j").agg(re.alias("re"), im.alias("im"))
     out = _times(out, alpha)
     if c is not None and beta:
         return accumulate(out, _times(c.select("b", "i", "j", "re", "im"), beta), ("b", "i", "j"))
@@ -122,17 +151,23 @@ def power_gemm(a: DataFrame, b: DataFrame, alpha: float = 1, beta: float = 0, p:
     return both.groupBy("b", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def beamform(v: DataFrame, weights: DataFrame, conjugate: bool = False, keys: Sequence[str] = ("chan", "pol", "t"), most_weight_rows: int = 2_000_000) -> DataFrame:
+def beamform(v: DataFrame, weights: DataFrame, conjugate: bool = False, keys: Sequence[str] = ("chan", "pol", "t"), most_weight_rows: int = 2_000_000, form: str | None = None) -> DataFrame:
     """(chan, pol, t, beam, re, im): the sum over antennas of weight times voltage (or its conjugate).
 
-    weights has chan, beam, ant, wre, wim, and pol if they differ by polarisation. They are sent whole
-    to every executor if they have at most ``most_weight_rows`` rows, else joined by shuffle.
+    weights has chan, beam, ant, wre, wim, and pol if they differ by polarisation. In the relational form they
+    are sent whole to every executor if they have at most ``most_weight_rows`` rows, else joined by shuffle,
+    and every sample meets every beam; the block form, taken by itself above MANY beams, multiplies tiles.
     """
     on = ["chan", "ant"] + (["pol"] if "pol" in weights.columns else [])
     w = weights.select(*on, "beam", "wre", "wim")
+    s = -1 if conjugate else 1
+    if _form(form, _counted(w, "beam") if form is None else 0) == "block":
+        x = v.select(*keys, "ant", F.col("re").alias("ar"), (s * F.col("im")).alias("ai"))
+        y = w.withColumnsRenamed({"wre": "br", "wim": "bi"})
+        own = [c for c in on if c != "ant"]
+        return tiles.product(x, y, own, [k for k in keys if k not in own], "ant", ["beam"]).select(*keys, "beam", "re", "im")
     if weights.limit(most_weight_rows + 1).count() <= most_weight_rows:
         w = F.broadcast(w)
-    s = -1 if conjugate else 1
     re = F.sum(F.col("wre") * F.col("re") - s * F.col("wim") * F.col("im"))
     im = F.sum(s * F.col("wre") * F.col("im") + F.col("wim") * F.col("re"))
     return v.join(w, on).groupBy(*keys, "beam").agg(re.alias("re"), im.alias("im"))
