@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from fringework.functions import axes, bits
 
+#: Pixels up to which the Fourier sum is taken, and pixels that a cell meets at once.
+FEW_PIXELS, PIXELS_MET = 2048, 256
+
 
 def cells(baselines: DataFrame, freqs: DataFrame, size: float, n: int) -> DataFrame:
     """(chan, ant_i, ant_j, iu, iv, ju, jv): a baseline's cell and that of its mirror image in each channel.
 
     baselines has a row for each pair, freqs (chan, hz) a row for each channel; the product is theirs by
-    definition and is sent out by channel.
+    definition and is sent out by channel: every number from the least to the greatest channel meets freqs.
     """
-    both = baselines.withColumn("chan", F.explode(F.array([F.lit(r.chan) for r in freqs.select("chan").collect()])))
-    rows = both.join(freqs, "chan")
+    ends = freqs.agg(F.min("chan").alias("a"), F.max("chan").alias("b")).first()
+    every = F.array().cast(f"array<{dict(freqs.dtypes)['chan']}>") if ends.a is None else F.sequence(F.lit(ends.a), F.lit(ends.b))
+    rows = baselines.withColumn("chan", F.explode(every)).join(freqs, "chan")
     at = lambda c, s: axes.cell(s * F.col(c), F.col("hz"), size, n)
     return rows.select("chan", "ant_i", "ant_j", at("u_m", 1).alias("iu"), at("v_m", 1).alias("iv"), at("u_m", -1).alias("ju"), at("v_m", -1).alias("jv"))
 
@@ -45,18 +49,25 @@ def tapered(g: DataFrame, taper: DataFrame | None) -> DataFrame:
     return g.join(taper, ["iv", "iu"], "left").select("chan", "iv", "iu", (F.col("re") * w).alias("re"), (F.col("im") * w).alias("im"))
 
 
-def intensity(g: DataFrame, pixels: DataFrame, n: int) -> DataFrame:
-    """(chan, beam, value): |image|^2 / n^2 at pixels(beam, row, col), by the Fourier sum at those pixels only.
+def intensity(g: DataFrame, pixels: DataFrame, n: int, form: str | None = None) -> DataFrame:
+    """(chan, beam, value): |image|^2 / n^2 at pixels(beam, row, col); a pixel outside the image is zero.
 
-    No dense plane is made: a row for each cell and pixel, summed at once on the map side. The pixels go
-    along as one array (as many as beams are asked for). A pixel outside the image is zero.
+    form "sparse" is the Fourier sum over the grid's cells at those pixels only: a row for each cell and pixel,
+    summed at once on the map side, no dense plane. form "dense" transforms each channel's plane and joins it
+    with the pixels. Without a form the pixels are counted: up to FEW_PIXELS the sum is taken.
     """
-    wanted = [(r.beam, r.row, r.col) for r in pixels.collect()]
-    p = F.explode(F.array([F.struct(F.lit(b).alias("beam"), F.lit(r).alias("row"), F.lit(c).alias("col")) for b, r, c in wanted]))
-    rows = g.select("chan", "iv", "iu", "re", "im", p.alias("p"))
-    angle = F.lit(2 * math.pi / n) * ((F.col("p.row") * F.col("iv") + F.col("p.col") * F.col("iu")) % n)
+    if form is None:
+        form = "sparse" if pixels.limit(FEW_PIXELS + 1).count() <= FEW_PIXELS else "dense"
+    if form == "dense":
+        return intensity_fft(g, pixels, n)
+    if form != "sparse":
+        raise ValueError("form must be sparse or dense")
+    parts = max(1, -(-pixels.count() // PIXELS_MET))  # cells meet the pixels part by part
+    p = pixels.select("beam", "row", "col", F.pmod(F.xxhash64("beam"), F.lit(parts)).cast("int").alias("_p"))
+    rows = g.select("chan", "iv", "iu", "re", "im", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p")).join(p, "_p")
+    angle = F.lit(2 * math.pi / n) * ((F.col("row") * F.col("iv") + F.col("col") * F.col("iu")) % n)
     re, im = F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)
-    z = rows.groupBy("chan", F.col("p.beam").alias("beam"), F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg(F.sum(re).alias("zr"), F.sum(im).alias("zi"))
+    z = rows.groupBy("chan", "beam", "row", "col").agg(F.sum(re).alias("zr"), F.sum(im).alias("zi"))
     inside = (F.col("row") >= 0) & (F.col("row") < n) & (F.col("col") >= 0) & (F.col("col") < n)
     return z.select("chan", "beam", F.when(inside, (F.col("zr") * F.col("zr") + F.col("zi") * F.col("zi")) / (n * n)).otherwise(0.0).alias("value"))
 
@@ -82,15 +93,17 @@ def image(g: DataFrame, n: int) -> DataFrame:
 
 
 def intensity_fft(g: DataFrame, pixels: DataFrame, n: int) -> DataFrame:
-    """As intensity(), by a transform of the whole plane; for many beams."""
-    wanted = [(r.beam, r.row, r.col) for r in pixels.collect()]
+    """As intensity(), by a transform of each channel's whole plane (n x n, one group), joined with the pixels."""
 
     def take(chan, z):
-        power = (z.real**2 + z.imag**2) / (n * n)
-        value = [float(power[r, c]) if 0 <= r < n and 0 <= c < n else 0.0 for _, r, c in wanted]
-        return pa.table({"chan": pa.array([chan.as_py()] * len(wanted), chan.type), "beam": pa.array([b for b, _, _ in wanted], pa.int32()), "value": value})
+        row, col = np.divmod(np.arange(n * n), n)
+        kinds, outside = pa.int32(), [-1]  # a cell of its own for pixels that lie outside
+        power = np.append((z.real**2 + z.imag**2).ravel() / (n * n), 0.0)
+        return pa.table({"chan": pa.array([chan.as_py()] * (n * n + 1), chan.type), "row": pa.array(np.append(row, outside), kinds), "col": pa.array(np.append(col, outside), kinds), "value": power})
 
-    return _planes(g, n, f"chan {dict(g.dtypes)['chan']}, beam int, value double", take)
+    inside = (F.col("row") >= 0) & (F.col("row") < n) & (F.col("col") >= 0) & (F.col("col") < n)
+    at = pixels.select("beam", *[F.when(inside, F.col(c)).otherwise(-1).cast("int").alias(c) for c in ("row", "col")])
+    return _planes(g, n, f"chan {dict(g.dtypes)['chan']}, row int, col int, value double", take).join(at, ["row", "col"]).select("chan", "beam", "value")
 
 
 def quantised(beams: DataFrame, scale: float = 1.0) -> DataFrame:

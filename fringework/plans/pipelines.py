@@ -18,7 +18,14 @@ class Catalog:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
-    def put(self, name: str, table: DataFrame) -> DataFrame:
+    def put(self, name: str, table: DataFrame, columns: dict[str, str] | None = None, rows: int | None = None) -> DataFrame:
+        """Names a table. A ValueError says which of ``columns`` (name: type) is missing or of another type, or that it doesn't have ``rows`` rows."""
+        kinds = dict(table.dtypes)
+        wrong = [f"{c} {t}" for c, t in (columns or {}).items() if kinds.get(c) != t]
+        if wrong:
+            raise ValueError(f"{name} has to have {', '.join(wrong)}; it has {', '.join(f'{c} {t}' for c, t in table.dtypes)}")
+        if rows is not None and (there := table.count()) != rows:
+            raise ValueError(f"{name} has to have {rows} rows; it has {there}")
         table.createOrReplaceTempView(name)
         self.tables[name] = table
         return table
@@ -34,11 +41,11 @@ def visibilities(voltage: DataFrame, inner: int = 1, form: str | None = None, n_
     return layout.with_lower_index(reduce.pol_reduce(tri))
 
 
-def imaged(voltage: DataFrame, baselines: DataFrame, freqs: DataFrame, pixels: DataFrame, n: int, size: float, taper: DataFrame | None = None, scale: float = 1.0, dense: bool = False) -> DataFrame:
+def imaged(voltage: DataFrame, baselines: DataFrame, freqs: DataFrame, pixels: DataFrame, n: int, size: float, taper: DataFrame | None = None, scale: float = 1.0, dense: bool | None = None) -> DataFrame:
     """(chan, beam, value 0..255): correlate, grid, taper, image at the beams' pixels, quantise."""
     vis = visibilities(voltage).select("chan", "ant_i", "ant_j", "re", "im")
     g = imaging.tapered(imaging.grid(vis, imaging.cells(baselines, freqs, size, n), n), taper)
-    z = imaging.intensity_fft(g, pixels, n) if dense else imaging.intensity(g, pixels, n)
+    z = imaging.intensity(g, pixels, n, None if dense is None else "dense" if dense else "sparse")
     return imaging.quantised(z, scale)
 
 
