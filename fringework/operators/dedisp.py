@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fringework.functions import axes
 
+#: Rows of shifts or of a tree's plan that are sent whole to every executor, and parts of the time that more of them meet.
+MOST_SENT, SPREAD = 500_000, 32
+
 
 def channel_ghz(i: np.ndarray | int, n: int, low_ghz: float, high_ghz: float, at: str = "edge"):
     """A channel's frequency: its lower edge, or its centre."""
@@ -30,24 +33,50 @@ def delays(dms: DataFrame, n_chan: int, low_ghz: float, high_ghz: float, dt: flo
     return rows.withColumn("shift", axes.half_away(F.col("tau") / F.lit(dt)))
 
 
-def shifted_sum(fb: DataFrame, shifts: DataFrame, n_time: int | None = None) -> DataFrame:
+def _met(fb: DataFrame, shifts: DataFrame) -> DataFrame:
+    """fb with the trials and shifts of each sample's channel.
+
+    Up to MOST_SENT rows of shifts are sent whole. More are joined by channel and a part of the time, so that
+    a few channels don't make a few huge partitions; each of the SPREAD parts has its own copy of the shifts.
+    """
+    s = shifts.select("chan", "dm_idx", "shift")
+    if s.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return fb.join(F.broadcast(s), "chan")
+    part = F.pmod(F.xxhash64(F.floor(F.col("t") / 1024)), F.lit(SPREAD)).cast("int")
+    s = s.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return fb.withColumn("_part", part).join(s, ["chan", "_part"]).drop("_part")
+
+
+def shifted_sum(fb: DataFrame, shifts: DataFrame, n_time: int | None = None, complete: bool = False) -> DataFrame:
     """(beam, dm_idx, t, value): the sum over channels of x at t + shift. What lies outside the series is not there.
 
-    shifts has a row for each trial and channel. Samples meet it by channel, and sums start on the map side.
+    shifts has a row for each trial and channel. Sums start on the map side. complete keeps the times only that
+    every channel reaches in every trial: t under n_time less the largest shift.
     """
-    rows = fb.join(shifts.select("chan", "dm_idx", "shift"), "chan").withColumn("t", F.col("t") - F.col("shift")).where("t >= 0")
+    rows = _met(fb, shifts).withColumn("t", F.col("t") - F.col("shift")).where("t >= 0")
     if n_time is not None:
-        rows = rows.where(F.col("t") < n_time)
+        most = (shifts.agg(F.max("shift")).first()[0] or 0) if complete else 0
+        rows = rows.where(F.col("t") < n_time - most)
     return rows.groupBy("beam", "dm_idx", "t").agg(F.sum("x").alias("value"))
 
 
-def fourier(fb: DataFrame, tau: np.ndarray, n_time: int, dt: float) -> DataFrame:
+def fourier(fb: DataFrame, tau: np.ndarray, n_time: int, dt: float, block: int | None = None) -> DataFrame:
     """(beam, dm_idx, t, value double): as shifted_sum() for delays of any length, by phases.
 
     tau[dm, chan] in seconds. Each beam's block is padded to a power of two that holds the largest delay,
     transformed, turned by +2 pi i f tau, summed over channels and transformed back. A beam's block (channels
-    times samples) is one group; longer series go through in overlapping blocks (dedispersed_blocks).
+    times samples) is one group. With ``block`` a long series goes through in blocks of so many samples, each of
+    which also sees what its largest delay reaches: the same for delays of whole samples; else interpolation
+    ends at a block's border.
     """
+    if block is not None and block < n_time:
+        over = math.ceil(float(tau.max(initial=0.0)) / dt) + 1
+        cut = blocks(fb.where((F.col("t") >= 0) & (F.col("t") < n_time)), block, over)
+        n_block = -(-n_time // block)  # a block of a beam passes as a beam of its own
+        cut = cut.select((F.col("beam").cast("bigint") * n_block + F.col("block")).alias("beam"), "chan", (F.col("t") - F.col("block") * block).alias("t"), "x")
+        out = fourier(cut, tau, block + over, dt).where(F.col("t") < block)
+        at = F.pmod("beam", F.lit(n_block))
+        return out.select(((F.col("beam") - at) / n_block).cast("bigint").alias("beam"), "dm_idx", (F.col("t") + at * block).alias("t"), "value").where(F.col("t") < n_time)
     padded, bins = axes.padded_length(n_time, float(tau.max(initial=0.0)), dt)
     f = np.arange(bins) / (padded * dt)
     n_dm, n_chan = tau.shape
@@ -113,7 +142,7 @@ def tree_plan(n_chan: int, n_dm: int, low_ghz: float, high_ghz: float, dt: float
 def tree(fb: DataFrame, n_chan: int, n_dm: int, low_ghz: float, high_ghz: float, dt: float, folder: str | None = None) -> DataFrame:
     """(beam, dm_idx, t, value) of the fast tree: a number of channels that is a power of two, aligned at the lowest channel.
 
-    Every stage is one equi-join with its plan (sent whole: trials times bands rows) and one grouped sum.
+    Every stage is one equi-join with its plan (trials times bands rows, sent whole up to MOST_SENT) and one grouped sum.
     Cells that a stage does not reach are zero. With ``folder`` every third stage is written there.
     """
     spark = fb.sparkSession
@@ -121,7 +150,7 @@ def tree(fb: DataFrame, n_chan: int, n_dm: int, low_ghz: float, high_ghz: float,
     for k, plan in enumerate(tree_plan(n_chan, n_dm, low_ghz, high_ghz, dt)):
         uses = [(2 * s + 1, h, s, lag, shift) for s, lag, h, _, shift in plan] + [(2 * s, w, s, lag, 0) for s, lag, _, w, _ in plan]
         m = spark.createDataFrame(uses, "sub int, lag int, to_sub int, to_lag int, shift int")
-        rows = state.join(F.broadcast(m), ["sub", "lag"]).select("beam", F.col("to_sub").alias("sub"), F.col("to_lag").alias("lag"), (F.col("t") + F.col("shift")).alias("t"), "v")
+        rows = state.join(F.broadcast(m) if len(uses) <= MOST_SENT else m, ["sub", "lag"]).select("beam", F.col("to_sub").alias("sub"), F.col("to_lag").alias("lag"), (F.col("t") + F.col("shift")).alias("t"), "v")
         ends = fb.groupBy("beam").agg(F.max("t").alias("end")) if k == 0 else ends
         state = rows.join(ends, "beam").where("t <= end").groupBy("beam", "sub", "lag", "t").agg(F.sum("v").alias("v"))
         if folder and k % 3 == 2:
@@ -149,6 +178,6 @@ def blocks(fb: DataFrame, size: int, overlap: int) -> DataFrame:
 def dedispersed_blocks(fb: DataFrame, shifts: DataFrame, size: int) -> DataFrame:
     """As shifted_sum() on an endless series, block by block: each block also sees the samples that its largest shift needs."""
     most = shifts.agg(F.max("shift")).first()[0] or 0
-    rows = blocks(fb, size, int(most)).join(shifts.select("chan", "dm_idx", "shift"), "chan").withColumn("t", F.col("t") - F.col("shift"))
+    rows = _met(blocks(fb, size, int(most)), shifts).withColumn("t", F.col("t") - F.col("shift"))
     rows = rows.where((F.col("t") >= F.col("block") * size) & (F.col("t") < (F.col("block") + 1) * size))
     return rows.groupBy("beam", "block", "dm_idx", "t").agg(F.sum("x").alias("value"))

@@ -30,14 +30,20 @@ def gaussian(x: DataFrame, width: int, keys: Sequence[str] = ("beam", "dm_idx"),
     return rows.join(ends, list(keys)).where("t between _a and _b").groupBy(*keys, "t").agg(F.sum("_v").alias("value"))
 
 
-def best_widths(x: DataFrame, widths: Sequence[int], mean: float, sigma: float, keys: Sequence[str] = ("beam", "dm_idx"), value: str = "value") -> DataFrame:
+def best_widths(x: DataFrame, widths: Sequence[int], mean: float, sigma: float, keys: Sequence[str] = ("beam", "dm_idx"), value: str = "value", block: int | None = None) -> DataFrame:
     """(keys, width, snr, intensity, time_idx): the best boxcar of each series.
 
     One window for each width over the same partitioning, so one shuffle serves all. Of equal S/N the width
-    that is named first and then the earliest time wins. intensity is the boxcar's sum.
+    that is named first and then the earliest time wins. intensity is the boxcar's sum. With ``block`` a series is
+    cut into blocks of so many times (from 0 on), which also see the widest boxcar's next samples: the result is
+    the same, and no task has to sort more than that.
     """
-    by = Window.partitionBy(*keys).orderBy("t")
-    rows = x.select(*keys, "t", value)
+    rows, cut = x.select(*keys, "t", value), []
+    if block is not None:
+        last = F.floor(F.col("t") / block).cast("bigint")
+        first = F.greatest(F.ceil((F.col("t") - (block + max(widths) - 1) + 1) / block).cast("bigint"), F.lit(0))
+        rows, cut = rows.withColumn("_block", F.explode(F.sequence(first, last))), ["_block"]
+    by = Window.partitionBy(*keys, *cut).orderBy("t")
     for k, w in enumerate(widths):
         frame = by.rowsBetween(0, w - 1)
         s = F.sum(value).over(frame)
@@ -45,6 +51,8 @@ def best_widths(x: DataFrame, widths: Sequence[int], mean: float, sigma: float,
     sums = [F.col(f"_s{k}").cast("double") for k in range(len(widths))]
     cells = [F.struct(((s - w * mean) / (sigma * math.sqrt(w))).alias("snr"), F.lit(-k).alias("first"), (-F.col("t")).alias("t"), s.alias("sum"), F.lit(w).alias("width")) for k, (w, s) in enumerate(zip(widths, sums))]
     best = [F.max(F.when(s.isNotNull(), c)).alias(f"_b{k}") for k, (s, c) in enumerate(zip(sums, cells))]
+    if block is not None:
+        rows = rows.where(F.col("t") < (F.col("_block") + 1) * block)
     rows = rows.groupBy(*keys).agg(*best)
     top = F.greatest(*[F.col(f"_b{k}") for k in range(len(widths))]) if len(widths) > 1 else F.col("_b0")
     return rows.select(*keys, top.alias("b")).where("b is not null").select(*keys, F.col("b.width").alias("width"), F.col("b.snr").alias("snr"), F.col("b.sum").alias("intensity"), (-F.col("b.t")).alias("time_idx"))
