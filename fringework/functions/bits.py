@@ -80,3 +80,22 @@ def quantise_truncate(x: Column) -> Column:
 def quantise_zero_mean(x: Column) -> Column:
     """A zero-mean value around 127.5, rounded half away from zero."""
     return quantise_half_away(x + F.lit(127.5))
+
+
+#: Fixed values of floating-point formats: bits of the fraction, least exponent of a normal number, largest finite value.
+FORMATS = {"half": (10, -14, 65504.0), "bfloat16": (7, -126, 3.3895313892515355e38), "e4m3": (3, -6, 448.0), "e5m2": (2, -14, 57344.0)}
+
+
+def as_float(x: Column, form: str = "half", saturated: bool = False) -> Column:
+    """x as a narrow float of FORMATS holds it: rounded half to even, below the normal numbers too.
+
+    What rounds beyond the largest value becomes infinite, or that value if saturated. Null and nan stay.
+    """
+    fraction, least, most = FORMATS[form]
+    a = F.abs(x.cast("double"))
+    e = F.floor(F.log2(F.when(a > 0, a)))
+    e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)  # log2 may miss by one
+    step = F.pow(F.lit(2.0), F.greatest(e, F.lit(least)) - fraction)
+    r = F.rint(a / step) * step
+    r = F.when(r > most, F.lit(most if saturated else float("inf"))).otherwise(r)
+    return F.when((a == 0) | F.isnan(x.cast("double")) | (a == float("inf")) & F.lit(not saturated), x.cast("double")).when(a == float("inf"), F.signum(x) * most).otherwise(F.signum(x) * r)

@@ -191,10 +191,16 @@ def xengine_crosspol(spark: SparkSession, d: str) -> DataFrame:
     return contract.cross_polar(_volt(spark, d))
 
 
-@query(f"WITH {TRI} SELECT chan, pol, t_inner, ant_i, ant_j, 2 * re + 3 * re AS re, 2 * im + 3 * im AS im FROM tri WHERE ant_i < 6 UNION ALL SELECT chan, pol, t_inner, ant_i, ant_j, 2 * re, 2 * im FROM tri WHERE ant_i >= 6")
+@query(f"WITH {VOLT} SELECT i.chan, i.ant AS ant_i, j.ant AS ant_j, i.pol AS pol_i, j.pol AS pol_j, CAST(sum(i.re * j.re + i.im * j.im) AS BIGINT) AS re, CAST(sum(i.im * j.re - i.re * j.im) AS BIGINT) AS im FROM sm i JOIN sm j ON i.chan = j.chan AND i.t = j.t AND j.ant <= i.ant AND j.pol <> i.pol GROUP BY ALL")
+def xengine_crosspol_block(spark: SparkSession, d: str) -> DataFrame:
+    return contract.cross_polar(_volt(spark, d), form="block")
+
+
+@query(f"WITH {TRI} SELECT chan, pol, t_inner, ant_i, ant_j, CAST(2 * re + CASE WHEN t_inner = 0 THEN 3 * sum(re) OVER w ELSE 0 END AS BIGINT) AS re, CAST(2 * im + CASE WHEN t_inner = 0 THEN 3 * sum(im) OVER w ELSE 0 END AS BIGINT) AS im FROM tri WINDOW w AS (PARTITION BY chan, pol, ant_i, ant_j)")
 def herk_accumulate(spark: SparkSession, d: str) -> DataFrame:
-    tri = _tri(spark, d)
-    return contract.accumulate(tri, tri.where("ant_i < 6"), ("chan", "pol", "t_inner", "ant_i", "ant_j"), 2, 3)
+    """Twice the sums at both inner times, and three times the sum of all, which has the first one's key."""
+    whole = contract.correlate(decode.split_time(_volt(spark, d), 1))
+    return contract.accumulate(_tri(spark, d), whole, ("chan", "pol", "t_inner", "ant_i", "ant_j"), 2, 3)
 
 
 @query(f"WITH {TRI} SELECT CAST(((ant_i * (ant_i + 1) // 2 + ant_j) * 7) % 36 AS BIGINT) AS out, CAST(chan // 4 AS INTEGER) AS chan, CAST(t_inner // 2 AS BIGINT) AS t, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM tri GROUP BY ALL")
@@ -232,6 +238,13 @@ def gemm_trans_conj(spark: SparkSession, d: str) -> DataFrame:
     return contract.gemm(m, _right(m), "T", "C")
 
 
+@query(f"WITH {MAT} {_gemm_sql('x', 'y', 'x.b = y.b AND x.i = y.k', 'x.k', 'y.i', 1, -1)}")
+def gemm_block(spark: SparkSession, d: str) -> DataFrame:
+    """A^T B^H by tiles."""
+    m = fx.matrices(spark, d)
+    return contract.gemm(m, _right(m), "T", "C", form="block")
+
+
 @query(f"WITH {MAT} {_gemm_sql('x', 'y', 'x.b = y.b AND x.i = y.i', 'x.k', 'y.k', -1, 1)}")
 def gemm_conj(spark: SparkSession, d: str) -> DataFrame:
     """A^H B."""
@@ -242,7 +255,13 @@ def gemm_conj(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MAT} {_gemm_sql('x', 'y', 'y.b = 0 AND x.k = y.i', 'x.i', 'y.k')}")
 def gemm_broadcast_b(spark: SparkSession, d: str) -> DataFrame:
     m = fx.matrices(spark, d)
-    return contract.gemm(m, _right(m.where("b = 0")).drop("b"), broadcast_b=True)
+    return contract.gemm(m, _right(m.where("b = 0")).drop("b"), most_rows_sent=100_000)
+
+
+@query(f"WITH {MAT} {_gemm_sql('x', 'y', 'y.b = 0 AND x.k = y.i', 'x.i', 'y.k')}")
+def gemm_shared_block(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.matrices(spark, d)
+    return contract.gemm(m, _right(m.where("b = 0")).drop("b"), form="block")
 
 
 @query(f"WITH {MAT}, p AS ({_gemm_sql('x', 'y', 'x.b = y.b AND x.k = y.k', 'x.i', 'y.i')}) SELECT p.b, p.i, p.j, CAST(2 * (p.re * p.re + p.im * p.im) + 3 * c.re AS BIGINT) AS value FROM p JOIN mat c ON p.b = c.b AND p.i = c.i AND p.j = c.k")
@@ -253,6 +272,13 @@ def power_gemm(spark: SparkSession, d: str) -> DataFrame:
     return contract.power_gemm(m, _right(m), 2, 3, p, op_b="T")
 
 
+@query(f"WITH {MAT}, p AS ({_gemm_sql('x', 'y', 'x.b = y.b AND x.k = y.k', 'x.i', 'y.i')}) SELECT p.b, p.i, p.j, CAST(2 * (p.re * p.re + p.im * p.im) + 3 * c.re AS BIGINT) AS value FROM p JOIN mat c ON p.b = c.b AND p.i = c.i AND p.j = c.k")
+def power_gemm_block(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.matrices(spark, d)
+    p = m.select("b", "i", F.col("k").alias("j"), F.col("re").alias("value"))
+    return contract.power_gemm(m, _right(m), 2, 3, p, op_b="T", form="block")
+
+
 @query(f"WITH {MAT} SELECT b, i, k AS j, CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS re, 0.0::DOUBLE AS im FROM mat")
 def lu_inverse(spark: SparkSession, d: str) -> DataFrame:
     """A (made regular by its diagonal) times its inverse is the unit matrix."""
@@ -269,6 +295,11 @@ def voltage_beamform(spark: SparkSession, d: str) -> DataFrame:
     return _beams(spark, d)
 
 
+@query(f"WITH {BEAMS} SELECT chan, pol, t, beam, re, im FROM z")
+def voltage_beamform_block(spark: SparkSession, d: str) -> DataFrame:
+    return contract.beamform(_volt(spark, d), fx.weights(spark), form="block")
+
+
 @query(f"WITH {VOLT}, {WEIGHTS} SELECT chan, pol, t, beam, CAST(sum(wre * re + wim * im) AS BIGINT) AS re, CAST(sum(wim * re - wre * im) AS BIGINT) AS im FROM sm JOIN w USING (chan, ant) GROUP BY ALL")
 def voltage_beamform_conj(spark: SparkSession, d: str) -> DataFrame:
     return _beams(spark, d, True)
@@ -429,10 +460,12 @@ def scale_vector(spark: SparkSession, d: str) -> DataFrame:
     return reduce.scale_vector(fx.table(spark, d, "events").select("event_id", "value"), 0.25)
 
 
-@query("SELECT event_id, round(2.0::DOUBLE * value - CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE * value ELSE 0 END, 6) AS value FROM events")
+@query("SELECT k AS event_id, round(sum(v), 6) AS value FROM (SELECT event_id AS k, 2.0::DOUBLE * value AS v FROM events UNION ALL SELECT o_orderkey, -0.5::DOUBLE * o_totalprice FROM orders) GROUP BY k")
 def axpby(spark: SparkSession, d: str) -> DataFrame:
+    """Either operand has keys that the other one lacks."""
     e = fx.table(spark, d, "events").select("event_id", "value")
-    return reduce.axpby(e, e.where("event_id % 3 = 0"), 2.0, -0.5, ("event_id",)).select("event_id", _r("value"))
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("value"))
+    return reduce.axpby(e, o, 2.0, -0.5, ("event_id",)).select("event_id", _r("value"))
 
 
 @query(f"WITH {FB} SELECT beam, max(greatest(abs(x), abs(x * 2 - 5))) AS most, round(448.0::DOUBLE / max(greatest(abs(x), abs(x * 2 - 5))), 9) AS scale FROM fb GROUP BY beam")
@@ -618,6 +651,12 @@ def dedisp_bruteforce(spark: SparkSession, d: str) -> DataFrame:
     return _dd(spark, d)
 
 
+@query(f"WITH {DD} SELECT beam, dm_idx, t, value FROM dd WHERE t < 64 - (SELECT max(shift) FROM sh)")
+def dedisp_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Only the times that every channel reaches."""
+    return dedisp.shifted_sum(fx.filterbank(spark, d), _shifts(spark), N_TIME, complete=True)
+
+
 @query(f"WITH {DD} SELECT beam, t // 16 AS block, dm_idx, t, value FROM dd")
 def dedisp_blocks(spark: SparkSession, d: str) -> DataFrame:
     return dedisp.dedispersed_blocks(fx.filterbank(spark, d), _shifts(spark), 16)
@@ -636,10 +675,23 @@ def fdd(spark: SparkSession, d: str) -> DataFrame:
     return dedisp.fourier(fx.filterbank(spark, d), _tau(True), N_TIME, DT).select("beam", "dm_idx", "t", _r("value", 3))
 
 
-@query()
+@query(f"WITH {DD} SELECT beam, CAST(dm_idx AS INTEGER) AS dm_idx, t, CAST(coalesce(value, 0) AS DOUBLE) AS value FROM (SELECT beam, dm_idx, t FROM (SELECT DISTINCT beam FROM fb), (SELECT dm_idx FROM dm), (SELECT range AS t FROM range(64))) LEFT JOIN dd USING (beam, dm_idx, t)")
+def fdd_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """In blocks of 16 samples."""
+    return dedisp.fourier(fx.filterbank(spark, d), _tau(True), N_TIME, DT, block=16).select("beam", "dm_idx", "t", _r("value", 3))
+
+
+#: By the closed form of the sum of phases: what a sample at s gives to t after a turn by tau, on 128 bins.
+_FRACTIONAL = f"""WITH {FB}, {DELAYS}, met AS (
+  SELECT beam, dm_idx, range AS t, x, pi() * (range - fb.t + tau / 0.001::DOUBLE) / 128 AS h, cos(pi() * tau / 0.001::DOUBLE) * CASE WHEN (range - fb.t) % 2 = 0 THEN 1 ELSE -1 END AS last
+  FROM fb JOIN sh USING (chan), range(64))
+SELECT beam, CAST(dm_idx AS INTEGER) AS dm_idx, t, round(sum(x * (CASE WHEN abs(sin(h)) < 1e-12 THEN 127.0::DOUBLE ELSE sin(127 * h) / sin(h) END + last) / 128), 3) + 0.0 AS value FROM met GROUP BY ALL"""
+
+
+@query(_FRACTIONAL)
 def fdd_fractional(spark: SparkSession, d: str) -> DataFrame:
     """By phases, with the delays as they are."""
-    return dedisp.fourier(fx.filterbank(spark, d), _tau(False), N_TIME, DT)
+    return dedisp.fourier(fx.filterbank(spark, d), _tau(False), N_TIME, DT).select("beam", "dm_idx", "t", _r("value", 3))
 
 
 @query(f"WITH {FB} SELECT beam, CAST(chan AS INTEGER) AS chan, t, CAST(x AS DOUBLE) AS x FROM (SELECT beam, t, sum(x) AS x FROM fb GROUP BY beam, t), (SELECT range AS chan FROM range(4))")
@@ -650,6 +702,14 @@ def fdd_reverse(spark: SparkSession, d: str) -> DataFrame:
     return back.select("beam", "chan", "t", _r("x", 3))
 
 
+@query(f"WITH {DD}, cells AS (SELECT * FROM (SELECT DISTINCT beam FROM fb), (SELECT CAST(range AS INTEGER) AS chan FROM range(16)), (SELECT range AS t FROM range(64))) SELECT c.beam, c.chan, c.t, round(sum(coalesce(value, 0)) / 8.0::DOUBLE, 3) + 0.0 AS x FROM cells c JOIN sh USING (chan) LEFT JOIN dd ON dd.beam = c.beam AND dd.dm_idx = sh.dm_idx AND dd.t = c.t - sh.shift GROUP BY ALL")
+def fdd_reverse_delayed(spark: SparkSession, d: str) -> DataFrame:
+    """With each trial's own delays: every channel gets back the mean of the trials' series, turned by its delay."""
+    tau = _tau(True)
+    back = dedisp.dispersed_again(dedisp.fourier(fx.filterbank(spark, d), tau, N_TIME, DT), tau, N_TIME, DT)
+    return back.select("beam", "chan", "t", _r("x", 3))
+
+
 def _tree_sql() -> str:
     sql, state = f"WITH {FB}, s0 AS (SELECT beam, chan AS sub, 0 AS lag, t, x AS v FROM fb)", "s0"
     for k, plan in enumerate(dedisp.tree_plan(N_CHAN, N_DM, LOW, HIGH, 0.004), 1):
@@ -711,6 +771,12 @@ def boxcar_search(spark: SparkSession, d: str) -> DataFrame:
     return search.best_widths(_dd(spark, d), WIDTHS, MEAN, SIGMA).select("beam", "dm_idx", "width", _r("snr"), "intensity", "time_idx")
 
 
+@query(f"WITH {DD}, {_best_sql('dd')} SELECT beam, dm_idx, CAST(width AS INTEGER) AS width, round(snr, 6) + 0.0 AS snr, intensity, time_idx FROM best")
+def boxcar_search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    best = search.best_widths(_dd(spark, d), WIDTHS, MEAN, SIGMA, block=16)
+    return best.select("beam", "dm_idx", "width", _r("snr"), "intensity", "time_idx")
+
+
 @query(f"WITH {DD}, {_best_sql('dd')} {_CAND}")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return search.candidates(search.best_widths(_dd(spark, d), WIDTHS, MEAN, SIGMA), _dms(spark), DT).withColumn("snr", F.round("snr", 6))
@@ -746,6 +812,37 @@ def filterbank_u8(spark: SparkSession, d: str) -> DataFrame:
     return fx.filterbank(spark, d).select("beam", "chan", "t", bits.quantise_zero_mean(F.col("x") / 4.0).alias("q"))
 
 
+@query(f"WITH {_INJ} SELECT beam, chan, t, CAST(greatest(least(sign(x / 4.0::DOUBLE + 127.5::DOUBLE) * floor(abs(x / 4.0::DOUBLE + 127.5::DOUBLE) + 0.5), 255), 0) AS INTEGER) AS q FROM inj")
+def simulated_u8(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain of a simulation: noise, bursts, quantised."""
+    fb = dedisp.inject(fx.filterbank(spark, d), _bursts(spark), N_CHAN, N_TIME, LOW, HIGH, DT)
+    return fb.select("beam", "chan", "t", bits.quantise_zero_mean(F.col("x") / 4.0).alias("q"))
+
+
+def _float_sql(x: str, fraction: int, least: int, most: float, beyond: str) -> str:
+    """A narrow float by powers of two, for DuckDB."""
+    step = f"pow(2.0::DOUBLE, greatest(CASE WHEN pow(2.0::DOUBLE, e) > abs({x}) THEN e - 1 WHEN pow(2.0::DOUBLE, e + 1) <= abs({x}) THEN e + 1 ELSE e END, {least}) - {fraction})"
+    r = f"round_even(abs({x}) / {step}, 0) * {step}"
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE sign({x}) * CASE WHEN {r} > {most}::DOUBLE THEN {beyond} ELSE {r} END END"
+
+
+_SPREAD = "(value - 200) * value * value * 0.01::DOUBLE"
+
+
+@query(f"WITH s AS (SELECT event_id, {_SPREAD} AS x FROM events), y AS (SELECT *, floor(log2(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE abs(x) END)) AS e FROM s) SELECT event_id, {_float_sql('x', 10, -14, 65504.0, chr(39) + 'infinity' + chr(39) + '::DOUBLE')} AS half, {_float_sql('x', 7, -126, 3.3895313892515355e38, chr(39) + 'infinity' + chr(39) + '::DOUBLE')} AS bfloat16, {_float_sql('x', 3, -6, 448.0, '448.0::DOUBLE')} AS e4m3, {_float_sql('x', 2, -14, 57344.0, '57344.0::DOUBLE')} AS e5m2 FROM y")
+def narrow_floats(spark: SparkSession, d: str) -> DataFrame:
+    """Rounding to 16 and 8 bits; the 8-bit formats saturate."""
+    v = F.col("value")
+    x = fx.table(spark, d, "events").select("event_id", ((v - 200) * v * v * F.lit(0.01)).alias("x"))
+    return x.select("event_id", *[bits.as_float(F.col("x"), f, f[0] == "e").alias(f) for f in bits.FORMATS])
+
+
+@query(f"WITH {TRI}, y AS (SELECT *, floor(log2(CASE WHEN re = 0 THEN 1.0::DOUBLE ELSE abs(re) END)) AS e FROM tri) SELECT chan, pol, t_inner, ant_i, ant_j, {_float_sql('re', 10, -14, 65504.0, chr(39) + 'infinity' + chr(39) + '::DOUBLE')} AS re FROM y")
+def xengine_half(spark: SparkSession, d: str) -> DataFrame:
+    """The correlation's real part in half precision."""
+    return _tri(spark, d).select("chan", "pol", "t_inner", "ant_i", "ant_j", bits.as_float(F.col("re")).alias("re"))
+
+
 @query("SELECT n_ant, n_time, 8 * n_time * n_ant * (n_ant + 1) // 2 AS herk_flops, 8 * n_time * n_ant * 64 AS beam_flops, 2 * n_time * n_ant AS bytes_in FROM (SELECT 8 * (1 + id) AS n_ant, 1000 * (1 + id % 3) AS n_time FROM range(16) r(id))")
 def cost_model(spark: SparkSession, d: str) -> DataFrame:
     s = spark.range(16).select((8 * (1 + F.col("id"))).alias("n_ant"), (1000 * (1 + F.col("id") % 3)).alias("n_time"))

@@ -40,7 +40,6 @@ fb AS (
   SELECT vec_id // 16 AS beam, CAST(vec_id % 16 AS INTEGER) AS chan, CAST(p - 1 AS BIGINT) AS t,
     CAST(round_even(CAST(embedding[p] AS DOUBLE) * 1000, 0) AS BIGINT) AS x
   FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS p FROM embeddings)
-  WHERE vec_id // 16 IN (SELECT vec_id // 16 FROM embeddings GROUP BY 1 HAVING count(*) = 16)
 )"""
 MAT = """
 mat AS (

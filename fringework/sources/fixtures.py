@@ -21,11 +21,10 @@ def voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(beam, chan, t, x): 16 channels of 64 samples for each beam that is whole."""
+    """(beam, chan, t, x): 64 samples of up to 16 channels for each beam; the last beam has as many channels as vectors are left."""
     e = table(spark, sf_dir, "embeddings")
-    full = e.groupBy(F.expr("vec_id div 16").alias("beam")).agg(F.count("*").alias("n")).where("n = 16")
     rows = e.select(F.expr("vec_id div 16").alias("beam"), (F.col("vec_id") % 16).cast("int").alias("chan"), F.posexplode("embedding").alias("t", "e"))
-    return rows.join(full, "beam", "left_semi").select("beam", "chan", F.col("t").cast("bigint").alias("t"), F.rint(F.col("e").cast("double") * 1000).cast("bigint").alias("x"))
+    return rows.select("beam", "chan", F.col("t").cast("bigint").alias("t"), F.rint(F.col("e").cast("double") * 1000).cast("bigint").alias("x"))
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
