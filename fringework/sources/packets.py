@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fringework.sources import ranges
+
 #: Axes from the slowest to the fastest in each layout, and bytes of a packet where it has them.
 LAYOUTS = {
     "dsa110": ("t_outer", "ant", "chan", "t_inner", "pol"),
@@ -43,21 +45,20 @@ def flat_index(layout: str | Sequence[str], sizes: dict[str, int]) -> Column:
 def read(spark: SparkSession, path: str, layout: str, sizes: dict[str, int], chunk: int = 1 << 20) -> DataFrame:
     """(payload, index, byte, axes): every byte of the files below path, a file being a payload.
 
-    Files come as Spark reads them, so any file system will do. A file's size must be whole packets.
+    A file is read in ranges by as many tasks as its size asks for. Its size must be whole packets.
     """
     packet = PACKET.get(layout)
 
     def run(batches):
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = np.frombuffer(data.as_buffer(), np.uint8)
-                if packet and len(raw) % packet:
-                    raise ValueError(f"{name}: {len(raw)} bytes are no whole number of {packet}-byte packets")
-                for at in range(0, len(raw), chunk):
-                    part = raw[at : at + chunk]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int16))], ["payload", "index", "byte"])
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "payload string, index bigint, byte smallint")
+        for name, at, length, data in ranges.contents(batches):
+            if packet and length % packet:
+                raise ValueError(f"{name}: {length} bytes are no whole number of {packet}-byte packets")
+            raw = np.frombuffer(data, np.uint8)
+            for k in range(0, len(raw), chunk):
+                part = raw[k : k + chunk]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at + k, at + k + len(part))), pa.array(part.astype(np.int16))], ["payload", "index", "byte"])
+
+    rows = ranges.planned(ranges.files(spark, path)).mapInArrow(run, "payload string, index bigint, byte smallint")
     return rows.select("*", *[c.alias(a) for a, c in coordinates(F.col("index"), layout, sizes).items()])
 
 

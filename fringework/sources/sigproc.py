@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from fringework.sources import ranges
 
 #: The header's keys by the kind of their value.
 TEXT = ("rawdatafile", "source_name")
@@ -112,7 +116,7 @@ class _Done(WriterCommitMessage):
         self.parts = parts
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Each task writes its rows, which must be in order and whole samples; commit joins the pieces in order of time."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -121,22 +125,25 @@ class _Writer(DataSourceWriter):
         if os.path.exists(self.path) and not overwrite:
             raise ValueError(f"{self.path} is there")
 
-    def write(self, rows) -> _Done:
-        n, first, out = self.head["nchans"], None, bytearray()
-        last = -1
-        for r in rows:
-            place = r["t"] * n + r["chan"]
+    def write(self, batches) -> _Done:
+        n, first, last, file = self.head["nchans"], None, -1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column("t").to_numpy() * n + batch.column("chan").to_numpy()
             if first is None:
-                first = place
-            elif place != last + 1:
+                first, last = int(place[0]), int(place[0]) - 1
+                name = f"{self.path}.part-{first}"
+                file = open(name, "wb")
+            if (np.diff(place, prepend=last) != 1).any():
+                file.close()
+                os.remove(name)
                 raise ValueError("rows of a partition must be in order of t and chan, without gaps")
-            last = place
-            out.append(min(255, max(0, r["value"])))
-        if first is None:
+            last = int(place[-1])
+            file.write(np.clip(batch.column("value").to_numpy(), 0, 255).astype(np.uint8).tobytes())
+        if file is None:
             return _Done([])
-        name = f"{self.path}.part-{first}"
-        with open(name, "wb") as f:
-            f.write(out)
+        file.close()
         return _Done([(first, name)])
 
     def commit(self, messages) -> None:
@@ -184,19 +191,71 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(path, t, chan, value) of every file below path, on any file system that Spark reads; a file is one task's."""
+    """(path, t, chan, value) of every file below path, read in ranges: large files are many tasks' work. A half sample at the end is left out."""
 
-    def run(batches):
+    def plan(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                head, size = parse_header(data)
+            for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with ranges.opened(name) as f:
+                    head, size = parse_header(f.read_at(min(length, 1 << 20), 0))
                 n = head["nchans"]
-                step = max(1, PART // n) * n
-                for at in range(size, len(data) - n + 1, step):
-                    part = _part(data[at : min(at + step, len(data) - (len(data) - size) % n)], (at - size) // n, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), *part.columns], ["path", "t", "chan", "value"])
+                if head.get("nbits", 8) != 8 or head.get("nifs", 1) != 1:
+                    raise ValueError(f"{name}: only 8-bit files of one IF are read")
+                step, there = max(1, ranges.STEP // n), (length - size) // n
+                first = np.arange(0, there, step)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(first), pa.string()), pa.array(size + first * n), pa.array(np.minimum(step, there - first) * n), pa.array(np.full(len(first), length)), pa.array(first), pa.array(np.full(len(first), n))], ["path", "at", "size", "length", "first", "n"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                first, n = one.column(4)[0].as_py(), one.column(5)[0].as_py()
+                for name, _, _, data in ranges.contents([one]):
+                    step = max(1, PART // n) * n
+                    for at in range(0, len(data), step):
+                        part = _part(data[at : at + step], first + at // n, n)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), *part.columns], ["path", "t", "chan", "value"])
+
+    found = ranges.files(spark, path)
+    n = max(1, math.ceil((found.agg(F.sum("length")).first()[0] or 0) / ranges.STEP))
+    planned = found.mapInArrow(plan, ranges.SCHEMA + ", first bigint, n bigint").repartition(n, "path", "at")
+    return planned.mapInArrow(run, "path string, t bigint, chan int, value int")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, t bigint, chan int, value int")
+
+def write_pieces(fb: DataFrame, folder: str, pieces: int | None = None, **head) -> DataFrame:
+    """Writes (t, chan, value) as files of consecutive samples in a folder, each with its own header; (path, first, samples) of each.
+
+    No byte goes through the driver, and any file system that Arrow opens will do. A piece's tstart is that
+    of its first sample. There are ``pieces`` of them, or as many as Spark makes of the size. Rows must be there for every channel of a sample; a task that runs again replaces its piece.
+    """
+    n, tstart, tsamp = int(head["nchans"]), float(head.get("tstart", 0.0)), float(head.get("tsamp", 0.0))
+
+    def run(batches):
+        system, inside = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        system.create_dir(inside, recursive=True)
+        out, name, first, last = None, "", 0, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column(0).to_numpy() * n + batch.column(1).to_numpy()
+            if out is None:
+                if place[0] % n:
+                    raise ValueError("a piece must begin with a whole sample")
+                first, last = int(place[0]) // n, int(place[0]) - 1
+                name = f"{inside}/{first:015d}.fil"
+                out = system.open_output_stream(name, compression=None)
+                out.write(make_header(head | {"tstart": tstart + first * tsamp / 86400}))
+            if (np.diff(place, prepend=last) != 1).any():
+                raise ValueError("rows of a piece must be every channel of consecutive samples")
+            last = int(place[-1])
+            out.write(np.clip(batch.column(2).to_numpy(), 0, 255).astype(np.uint8).tobytes())
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([(last + 1) // n - first])], ["path", "first", "samples"])
+
+    rows = fb.select(F.col("t").cast("bigint").alias("t"), F.col("chan").cast("int").alias("chan"), F.col("value").cast("int").alias("value"))
+    done = rows.repartitionByRange(*[pieces][: pieces is not None], "t").sortWithinPartitions("t", "chan").mapInArrow(run, "path string, first bigint, samples bigint")
+    return fb.sparkSession.createDataFrame(done.collect(), done.schema)  # a row for each piece; the files are there when this returns
 
 
 def write(fb: DataFrame, path: str, **head) -> None:

@@ -37,7 +37,7 @@ def test_every_byte(spark):
 
 @pytest.mark.parametrize("form", ["relational", "block"])
 def test_correlation_is_the_matrix_product(spark, form, monkeypatch):
-    monkeypatch.setattr(contract, "BLOCK", 3)
+    monkeypatch.setattr(contract, "BLOCK_BYTES", 16 * 5 * 3)
     rows, v = voltages(spark)
     got = contract.correlate(decode.split_time(decode.decode(v), 2), form=form).collect()
     x = {(t, c, a, p): nibbles(b) for t, c, a, p, b in rows}
@@ -47,6 +47,85 @@ def test_correlation_is_the_matrix_product(spark, form, monkeypatch):
         assert complex(r.re, r.im) == z
 
 
+@pytest.mark.parametrize("form", [None, "block"])
+def test_products_of_many_antennas(spark, form, monkeypatch):
+    """70 antennas: the block form is taken by itself, for correlation, cross polarisation and beams; tiles are small."""
+    monkeypatch.setattr(contract, "BLOCK_BYTES", 16 * 70 * 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-7, 8, (6, 70, 2)) + 1j * rng.integers(-7, 8, (6, 70, 2))
+    v = spark.createDataFrame([(t, 0, a, p, int(x[t, a, p].real), int(x[t, a, p].imag)) for t in range(6) for a in range(70) for p in range(2)], "t bigint, chan int, ant int, pol int, re int, im int")
+    got = {(r.pol, r.ant_i, r.ant_j): complex(r.re, r.im) for r in contract.correlate(v, ("chan", "pol"), "t", form).collect()}
+    assert len(got) == 2 * 70 * 71 // 2
+    assert all(z == x[:, i, p] @ x[:, j, p].conj() for (p, i, j), z in got.items())
+    got = {(r.ant_i, r.ant_j, r.pol_i, r.pol_j): complex(r.re, r.im) for r in contract.cross_polar(v, form=form).collect()}
+    assert len(got) == 2 * 70 * 71 // 2 and all(z == x[:, i, p] @ x[:, j, q].conj() and p != q for (i, j, p, q), z in got.items())
+    w = rng.integers(-7, 8, (60, 70)) + 1j * rng.integers(-7, 8, (60, 70))
+    weights = spark.createDataFrame([(0, b, a, int(w[b, a].real), int(w[b, a].imag)) for b in range(60) for a in range(70)], "chan int, beam int, ant int, wre int, wim int")
+    for conjugate in (False, True):
+        got = {(r.t, r.pol, r.beam): complex(r.re, r.im) for r in contract.beamform(v, weights, conjugate, form=form).collect()}
+        want = np.einsum("ba,tap->tpb", w, x.conj() if conjugate else x)
+        assert len(got) == 6 * 2 * 60 and all(z == want[k] for k, z in got.items())
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_gemm_by_tiles(spark, shared, monkeypatch):
+    """64 x 96 by 96 x 80 for three batches, in tiles of 20, with holes; whole and broken numbers."""
+    monkeypatch.setattr("fringework.operators.tiles.product.__defaults__", (20,))
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(-9, 10, (3, 64, 96)) * (rng.random((3, 64, 96)) < 0.7), rng.integers(-9, 10, (1 if shared else 3, 96, 80))
+    x = spark.createDataFrame([(n, i, k, int(a[n, i, k]), int(a[n, i, k]) * 2) for n, i, k in zip(*map(np.ndarray.tolist, np.nonzero(a)))], "b int, i int, k int, re int, im int")
+    rows = [(n, k, j, int(b[n, k, j]), 1) for n in range(len(b)) for k in range(96) for j in range(80)]
+    y = spark.createDataFrame(rows, "b int, k int, j int, re int, im int")
+    for kind in ("int", "double"):
+        left, right = (m.withColumns({c: F.col(c).cast(kind) for c in ("re", "im")}) for m in (x, y.drop("b") if shared else y))
+        out = contract.gemm(left, right, form="block")
+        assert dict(out.dtypes)["re"] == ("bigint" if kind == "int" else "double")
+        got = {(r.b, r.i, r.j): complex(r.re, r.im) for r in out.collect()}
+        want = (a * (1 + 2j)) @ (b + 1j)
+        assert len(got) == 3 * 64 * 80 and all(abs(z - want[k]) < 1e-9 for k, z in got.items())
+        assert contract.gemm(left, right).count() == len(got)
+
+
+def test_narrow_floats_as_numpy_rounds(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.normal(size=400) * 10.0 ** rng.integers(-9, 6, 400), [0.0, -0.0, 1.0, 2.0, 65504.0, 65519.9, 65520.0, 1e9, 6e-8, 2.98e-8, 2.99e-8, float("inf"), float("-inf")]))
+    d = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k int, x double")
+    got = {r.k: r for r in d.select("k", bits.as_float(F.col("x")).alias("h"), bits.as_float(F.col("x"), "e4m3", True).alias("f")).collect()}
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16).astype(float)
+    assert all(got[k].h == half[k] for k in range(len(x)))
+    assert max(r.f for r in got.values()) == 448.0 and min(r.f for r in got.values()) == -448.0
+    assert spark.range(1).select(bits.as_float(F.lit(None).cast("double")).alias("a"), bits.as_float(F.lit(float("nan"))).alias("b")).first()["a"] is None
+
+
+def test_imaging_forms_agree(spark):
+    """Sparse and dense, with pixels that repeat a place or lie outside, and more pixels than a cell meets at once."""
+    rng = np.random.default_rng(3)
+    g = spark.createDataFrame([(c, int(v), int(u), float(rng.normal()), float(rng.normal())) for c in range(2) for v, u in {tuple(rng.integers(0, 16, 2)) for _ in range(20)}], "chan int, iv bigint, iu bigint, re double, im double")
+    pixels = spark.createDataFrame([(b, b % 17, (b * 5) % 16) for b in range(300)], "beam int, row int, col int")
+    sparse, dense = ({(r.chan, r.beam): r.value for r in imaging.intensity(g, pixels, 16, form).collect()} for form in ("sparse", "dense"))
+    assert sparse.keys() == dense.keys() and len(sparse) == 600
+    assert all(abs(sparse[k] - dense[k]) < 1e-9 for k in sparse) and all(sparse[c, 16] == 0 for c in range(2))
+
+
+def test_blocks_of_long_series(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 50, (2, 4, 100))
+    fb = spark.createDataFrame([(b, c, t, int(x[b, c, t])) for b in range(2) for c in range(4) for t in range(100)], "beam bigint, chan int, t bigint, x bigint")
+    tau = np.array([[3, 2, 1, 0], [9, 6, 2, 0]]) * 0.001
+    key = lambda d: sorted((r.beam, r.dm_idx, r.t, round(r.value, 6)) for r in d.collect())
+    whole = key(dedisp.fourier(fb, tau, 100, 0.001))
+    assert key(dedisp.fourier(fb, tau, 100, 0.001, block=16)) == whole
+    shifts = spark.createDataFrame([(d, c, int(round(tau[d, c] * 1000))) for d in range(2) for c in range(4)], "dm_idx int, chan int, shift bigint")
+    summed = dedisp.shifted_sum(fb, shifts, 100)
+    assert key(summed) == whole
+    monkeypatch.setattr(dedisp, "MOST_SENT", 3)  # the way for many trials
+    assert key(dedisp.shifted_sum(fb, shifts, 100)) == whole
+    assert {r.t for r in dedisp.shifted_sum(fb, shifts, 100, complete=True).collect()} == set(range(91))
+    best = lambda **how: sorted(map(tuple, search.best_widths(summed, (1, 2, 8), 5.0, 2.0, **how).collect()))
+    assert best(block=7) == best() == best(block=1000)
+
+
 def test_autos_are_the_incoherent_beam(spark):
     _, v = voltages(spark)
     d = decode.split_time(decode.decode(v), 1)
@@ -189,6 +268,20 @@ def test_filterbank_file(spark, tmp_path):
         sigproc.parse_header(struct.pack("<i", 12) + b"HEADER_START" + struct.pack("<i", 3) + b"huh")
 
 
+def test_filterbank_pieces(spark, tmp_path, monkeypatch):
+    """Pieces are files of their own; together they hold every sample, and each is read in ranges."""
+    x = np.random.default_rng(8).integers(0, 300, (64, 4))
+    rows = spark.createDataFrame([(t, c, int(x[t, c])) for t in range(64) for c in range(4)], "t bigint, chan int, value int").repartition(5)
+    done = sigproc.write_pieces(rows, f"file://{tmp_path}/out", 3, source_name="test", nchans=4, nbits=8, nifs=1, tstart=55000.0, tsamp=0.5).collect()
+    assert sum(r.samples for r in done) == 64 and len(done) > 1
+    monkeypatch.setattr("fringework.sources.ranges.STEP", 12)
+    first = {r.path: r["first"] for r in done}
+    got = {(r.t + first[r.path.removeprefix("file:").replace("//", "/")], r.chan): r.value for r in sigproc.scan(spark, f"{tmp_path}/out").collect()}
+    assert got == {(t, c): min(255, int(x[t, c])) for t in range(64) for c in range(4)}
+    head = sigproc.parse_header(open(max(first), "rb").read())[0]
+    assert head["tstart"] == 55000.0 + max(first.values()) * 0.5 / 86400
+
+
 def test_calibration_and_flags(spark, tmp_path):
     n_ant, n_fq = 3, 2
     x = np.arange(n_ant * (2 + 4 * n_fq), dtype="<f4")
@@ -201,7 +294,8 @@ def test_calibration_and_flags(spark, tmp_path):
     assert sorted(r.ant for r in calib.flags(spark, f"{tmp_path}/f.txt").collect()) == [0, 2]
 
 
-def test_payload_files(spark, tmp_path):
+def test_payload_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("fringework.sources.ranges.planned.__defaults__", (1000,))
     data = np.random.default_rng(8).integers(0, 256, 4608 * 2).astype(np.uint8)
     data.tofile(tmp_path / "p.dat")
     sizes = {"ant": 3, "chan": 384, "t_inner": 2, "pol": 2}
@@ -232,6 +326,62 @@ def test_stats_of_noise(spark):
     assert abs(s.mean - 32) < 0.5 and abs(s.sigma - 8) < 0.3
 
 
+def candidates_by_hand(plane, widths, dms, dt, most):
+    """The search with masks as plain loops."""
+    n_dm, n_t = plane.shape
+    near = max(2, int(np.ceil(2.0 / (dms[1] - dms[0]))))
+    masked, out = set(), []
+    for _ in range(most):
+        best = None
+        for w in widths:
+            sums = {(d, t): sum(plane[d][t : t + w]) for d in range(n_dm) for t in range(n_t - w + 1) if not any((d, k) in masked for k in range(t, t + w))}
+            if not sums:
+                continue
+            d, t = min(sums, key=lambda k: (-sums[k], k))
+            off = [v for (e, k), v in sums.items() if e == d and not t - 2 * w <= k <= t + 2 * w]
+            mean = sigma = 0.0
+            for _ in range(3):
+                if not off:
+                    break
+                mean = sum(off) / len(off)
+                sigma = max(0.0, sum(v * v for v in off) / len(off) - mean**2) ** 0.5
+                if sigma < 1e-9:
+                    break
+                off = [v for v in off if abs(v - mean) <= 3 * sigma]
+            snr = (sums[d, t] - mean) / sigma if sigma > 1e-9 else 0.0
+            if best is None or snr > best[0]:
+                best = (snr, d, t, w, sums[d, t])
+        if best is None or best[0] <= 0:
+            break
+        snr, d, t, w, total = best
+        out.append((dms[d], t * dt, snr, total, d, t, w))
+        masked |= {(e, k) for e in range(d - near, d + near + 1) for k in range(t - max(10, w), t + max(10, w) + 1)}
+    return out
+
+
+def test_many_candidates_by_hand(spark):
+    rng = np.random.default_rng(12)
+    dms = [i * 0.9 for i in range(9)]
+    planes = rng.integers(0, 30, (3, 9, 70))
+    planes[0, 4, 20:24] += 90
+    planes[0, 7, 50] += 150
+    rows = [(b, d, t, float(planes[b, d, t])) for b in range(3) for d in range(9) for t in range(70)]
+    got = search.many_candidates(spark.createDataFrame(rows, "beam bigint, dm_idx int, t bigint, value double"), (1, 2, 4), dms, 0.01, 4).collect()
+    for b in range(3):
+        want = candidates_by_hand(planes[b].astype(float), (1, 2, 4), dms, 0.01, 4)
+        mine = [tuple(r)[1:] for r in got if r.beam == b]
+        assert len(mine) == len(want) > 1 and np.allclose(mine, want)
+
+
+def test_named_arrays_have_their_size_checked(spark):
+    c, t = pipelines.Catalog(), spark.createDataFrame([(1, 2.0)], "ant int, re double")
+    assert c.put("v", t, {"ant": "int"}, 1) is c["v"]
+    with pytest.raises(ValueError, match="re bigint"):
+        c.put("v", t, {"ant": "int", "re": "bigint"})
+    with pytest.raises(ValueError, match="2 rows"):
+        c.put("v", t, rows=2)
+
+
 def test_catalogue_of_arrays(spark):
     c = pipelines.Catalog()
     c.put("volts", spark.range(3))
