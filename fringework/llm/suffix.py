@@ -6,13 +6,13 @@ comes from the order of those that begin in the next one, by a stable sort on th
 column of the Burrows-Wheeler transform), and the common prefixes of neighbours are carried along.
 Where a common prefix reaches the window's length, both neighbours hold a repeated window. Since
 equal windows are aligned, suffixes of different columns need not be put in order, and a round costs
-as much as it inserts. Columns lie in a sequential file on the worker's own disk, read once.
+as much as it inserts. A batch's columns are read in sequence from memory: its texts are few and short
+by bound, so the external files are the sorted tables of pieces on shared storage that batches come from.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -41,27 +41,23 @@ def repeated(rows: list[dict], width: int) -> list[tuple[int, int, int]]:
     keys = np.array([r["key"] for r in rows])
     group = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1]))).astype(np.uint16 if m < 1 << 16 else np.int64)
     hit = np.zeros((columns, m), bool)
-    with tempfile.TemporaryFile() as file:
-        file.write(table[::-1].tobytes())
-        del table
-        file.seek(0)
-        order, common = np.arange(m), np.zeros(m + 1, np.int32)
-        for column in range(columns - 1, -1, -1):
-            symbol = np.frombuffer(file.read(2 * m), np.uint16)[order]
-            by = np.argsort(symbol, kind="stable")
-            by = by[np.argsort(group[by], kind="stable")]
-            symbol, order = symbol[by], order[by]
-            same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (group[1:] == group[:-1]) & (symbol[1:] != _NONE))
-            new = np.zeros(m + 1, np.int32)
-            if len(same):
-                ends = np.empty(2 * len(same), np.int64)
-                ends[::2], ends[1::2] = by[same] + 1, by[same + 1] + 1
-                new[same + 1] = np.minimum.reduceat(common, ends)[::2] + 1
-            common = new
-            at = np.flatnonzero(common >= width)
-            if len(at):
-                hit[column, order[at]] = True
-                hit[column, order[at - 1]] = True
+    order, common = np.arange(m), np.zeros(m + 1, np.int32)
+    for column in range(columns - 1, -1, -1):
+        symbol = table[column][order]
+        by = np.argsort(symbol, kind="stable")
+        by = by[np.argsort(group[by], kind="stable")]
+        symbol, order = symbol[by], order[by]
+        same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (group[1:] == group[:-1]) & (symbol[1:] != _NONE))
+        new = np.zeros(m + 1, np.int32)
+        if len(same):
+            ends = np.empty(2 * len(same), np.int64)
+            ends[::2], ends[1::2] = by[same] + 1, by[same + 1] + 1
+            new[same + 1] = np.minimum.reduceat(common, ends)[::2] + 1
+        common = new
+        at = np.flatnonzero(common >= width)
+        if len(at):
+            hit[column, order[at]] = True
+            hit[column, order[at - 1]] = True
     out = []
     for i, r in enumerate(rows):
         if r["n"] == 1:
