@@ -4,9 +4,10 @@ Every window has an anchor: the leftmost q-gram in it of least hash. Equal windo
 anchors at equal offsets, so windows only need to be compared with those of the same anchor, aligned
 on it. Consecutive windows with one anchor travel as one span.
 
-1. Spans are written with the anchor's hash (``key``) and a hash of their content (``mark``).
-   Those whose key is there once hold no repeated window and go.
-2. Equal spans (same key and mark) are counted: all windows of a span that is there twice repeat.
+1. Spans are written with the anchor's hash (``key``) and a BLAKE2 digest of 128 bits over their
+   content, offset and length (``mark``). Those whose key is there once hold no repeated window and go.
+2. Equal spans (same mark) are counted: all windows of a span that is there twice repeat. A mark is a
+   cryptographic digest, as good as the bytes; keys only bring together, a clash costs time but no result.
 3. Where different spans share a key, one of each goes, with its content, to the key's bucket, where
    the caller's ``solve`` compares the windows themselves.
 4. A key with more than HOT different spans is not sent to a bucket. Its spans are cut into SPLIT
@@ -16,6 +17,7 @@ on it. Consecutive windows with one anchor travel as one span.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,8 +114,8 @@ def of_words(text: bytes) -> Units:
     return Units(b" ".join(words), begin, end, numbers)
 
 
-def _mark(data: bytes, offset: int, count: int) -> int:
-    return xxhash.xxh64_intdigest(data, offset << 20 | count)
+def _mark(data: bytes, offset: int, count: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, salt=offset.to_bytes(8, "little") + count.to_bytes(8, "little")).digest()
 
 
 def _spans(batches, cut, width: int, q: int):
@@ -126,7 +128,7 @@ def _spans(batches, cut, width: int, q: int):
             start, count, off, key = anchored(u.numbers, width, q)
             if len(start):
                 marks = [_mark(u.cut(s, s + c - 1 + width), o, c) for s, c, o in zip(start.tolist(), count.tolist(), off.tolist())]
-                cols.append((np.full(len(start), row), start, count, off, key, np.array(marks, np.uint64).view(np.int64)))
+                cols.append((np.full(len(start), row), start, count, off, key, marks))
             if sum(len(c[0]) for c in cols) > 50_000:
                 yield _span_batch(cols)
                 cols = []
@@ -135,12 +137,13 @@ def _spans(batches, cut, width: int, q: int):
 
 
 def _span_batch(cols) -> pa.RecordBatch:
-    row, pos, count, off, key, mark = (np.concatenate(x) for x in zip(*cols))
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(key), pa.array(mark)], ["row", "pos", "count", "off", "key", "mark"])
+    row, pos, count, off, key = (np.concatenate(x) for x in list(zip(*cols))[:5])
+    mark = [m for c in cols for m in c[5]]
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(key), pa.array(mark, pa.binary())], ["row", "pos", "count", "off", "key", "mark"])
 
 
-_SPAN = "row bigint, pos bigint, count int, off int, key bigint, mark bigint"
-_PIECE = "row bigint, pos bigint, count int, off int, key bigint, mark bigint, n bigint, data binary"
+_SPAN = "row bigint, pos bigint, count int, off int, key bigint, mark binary"
+_PIECE = "row bigint, pos bigint, count int, off int, key bigint, mark binary, n bigint, data binary"
 
 
 def _contents(batches, cut, width: int):
@@ -159,7 +162,7 @@ def _contents(batches, cut, width: int):
 
 
 def _piece_batch(rows) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["row", "pos", "count", "off", "key", "mark", "n", "data"])
 
 
@@ -177,8 +180,9 @@ def _cut_up(batches, cut, width: int, step: int):
                 for cell in range((off - r["count"] + 1) // step, off // step + 1):
                     a, b = max(0, off - (cell + 1) * step + 1), min(r["count"], off - cell * step + 1)
                     core = u.cut(off - cell * step, off - (cell + 1) * step + 1 + width)
-                    key = np.array([xxhash.xxh64_intdigest(core, (r["key"] ^ cell) & (1 << 64) - 1), _mark(data := u.cut(a, b - 1 + width), off - a, b - a)], np.uint64).view(np.int64).tolist()
-                    out.append((r["row"], r["pos"] + a, b - a, off - a, *key, r["n"], data))
+                    key = int(np.uint64(xxhash.xxh64_intdigest(core, (r["key"] ^ cell) & (1 << 64) - 1)).view(np.int64))
+                    data = u.cut(a, b - 1 + width)
+                    out.append((r["row"], r["pos"] + a, b - a, off - a, key, _mark(data, off - a, b - a), r["n"], data))
             yield _piece_batch(out)
 
 
