@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from fringework.llm.common import drop_dir, shared_dir, stored
 
 #: Most different spans of one key that a bucket takes, and into how many parts a span of more is cut.
-HOT, SPLIT = 1000, 8
+HOT, SPLIT = 200, 8
 #: Units of a text that are looked at together; positions inside must fit into LOW bits.
 CHUNK, LOW = 1 << 18, 20
 _P = np.uint64(0x9E3779B97F4A7C15)
