@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fringework.llm.common import shared_dir, stored
 
@@ -89,12 +89,28 @@ class Model:
         return out[::-1]
 
 
+def _observed(batches):
+    """Adds what is seen of each line (seen) and the line before it in the same conversation and partition: whether there is one, and its truth."""
+    last: tuple = ()
+    for batch in batches:
+        conv, lines = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        truth = batch.column(batch.schema.get_field_index("truth")).to_pylist() if "truth" in batch.schema.names else [None] * len(conv)
+        goes_on, before = [], []
+        for c, t in zip(conv, truth):
+            goes_on.append(bool(last) and last[0] == c)
+            before.append(last[1] if goes_on[-1] else None)
+            last = (c, t)
+        cols = [pa.array([observe(x or "")[0] for x in lines], pa.int32()), pa.array(goes_on, pa.bool_()), pa.array(before, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "seen", "goes_on", "before"])
+
+
 def ordered(lines: DataFrame, folder: str) -> DataFrame:
-    """lines(conv_id, place, line, ...) in order, written down with the number of the partition that each row is in."""
-    cols = [c for c in lines.columns]
-    out = lines.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("conv_id", "place", "_row").sortWithinPartitions("conv_id", "place", "_row")
-    out = stored(out.select(*cols, "_row", F.spark_partition_id().alias("part")), folder, "lines")
-    return out
+    """lines(conv_id, place, line, ...) in order, written down with the number of the partition that each row is in and what is seen of it."""
+    first = ["conv_id", "place", "line"]
+    out = lines.select(*first, *[F.col(c).cast("int") if c == "truth" else F.col(c) for c in lines.columns if c not in first])
+    out = out.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("conv_id", "place", "_row").sortWithinPartitions("conv_id", "place", "_row")
+    form = T.StructType([*out.schema.fields, T.StructField("seen", T.IntegerType()), T.StructField("goes_on", T.BooleanType()), T.StructField("before", T.IntegerType())])
+    return stored(out.mapInArrow(_observed, form).withColumn("part", F.spark_partition_id()), folder, "lines")
 
 
 def _by_part(df: DataFrame) -> DataFrame:
@@ -117,30 +133,23 @@ def _runs(batches, *cols):
 
 
 def fit(lines: DataFrame) -> Model:
-    """From ordered lines with column truth (a number of STATES, null where unknown). Counts of all lines; a few hundred numbers reach the driver."""
-
-    def count(batches):
-        first, step, shows = np.zeros(N), np.zeros((N, N)), np.zeros((N, SEEN))
-        for _, _, rows in _runs(batches, "line", "truth"):
-            for k, (line, s) in enumerate(rows):
-                if s is None:
-                    continue
-                shows[s, observe(line or "")[0]] += 1
-                if k == 0:
-                    first[s] += STATES[s][1]
-                elif rows[k - 1][1] is not None:
-                    step[rows[k - 1][1], s] += 1
-        flat = np.concatenate((first, step.ravel(), shows.ravel())).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int64()), pa.array(flat)], ["k", "n"])
-
-    n = np.zeros(N + N * N + N * SEEN)
-    for r in _by_part(lines).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        n[r.k] = r.n
-    return Model(n[:N], n[N : N + N * N].reshape(N, N), n[N + N * N :].reshape(N, SEEN))
+    """From ordered lines with column truth (a number of STATES, null where unknown): counts of all lines, summed where they lie.
+
+    A few hundred numbers reach the driver. A line that goes on from another partition counts for what it shows only.
+    """
+    kinds = lines.where("truth is not null").groupBy("truth", "seen", "goes_on", "before").agg(F.count("*").alias("n"))
+    first, step, shows = np.zeros(N), np.zeros((N, N)), np.zeros((N, SEEN))
+    for r in kinds.collect():  # N * SEEN * 2 * (N + 1) rows at most
+        shows[r.truth, r.seen] += r.n
+        if r.before is not None:
+            step[r.before, r.truth] += r.n
+        elif not r.goes_on and STATES[r.truth][1]:
+            first[r.truth] += r.n
+    return Model(first, step, shows)
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, place, role, begins, text, rendered) for each of the ordered lines.
+    """(conv_id, place, role, begins, text, rendered) for each of the ordered lines. Of paths of equal score the lowest state wins.
 
     The rendered pieces of a conversation, one after the other, are its canonical form:
     ``<|im_start|>role``, the turn's lines, ``<|im_end|>``. Rows of one place are ordered by where

@@ -50,6 +50,42 @@ def test_roles_recovered(spark):
     assert right >= 0.95 * len(got)
 
 
+def test_styles_that_the_model_has_not_seen(spark, monkeypatch):
+    """Fitted on two styles and one set of names; judged on other conversations in other styles, with other names and twice as many bare turns."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    monkeypatch.setattr(chat, "STYLES", ("{}: ", "### {}: "))
+    monkeypatch.setattr(chat, "SPOKEN", {"system": ("System",) * 2, "user": ("User",) * 2, "assistant": ("Assistant",) * 2})
+    m = chat.fit(chat.ordered(chat.transcript(turns.where("conv_id % 2 = 0")), chat.shared_dir(spark)))
+    monkeypatch.setattr(chat, "STYLES", ("[{}]: ", "{}> ", "**{}**: ", "<|{}|>: "))
+    monkeypatch.setattr(chat, "SPOKEN", {"system": ("Instructions", "Sys"), "user": ("Human", "Q"), "assistant": ("Bot", "Answer")})
+    lines = chat.ordered(chat.transcript(turns.where("conv_id % 2 = 1"), 5), chat.shared_dir(spark))
+    got = chat.parse(lines, m).join(lines.select("conv_id", "place", "truth"), ["conv_id", "place"]).collect()
+    assert sum(chat.ROLES.index(r.role) == r.truth // 2 for r in got) >= 0.9 * len(got)
+
+
+def test_ties_go_to_the_lowest_state():
+    """Nothing is known, so all paths that begin and go on as they may are worth the same."""
+    m = chat.Model(np.zeros(6), np.zeros((6, 6)), np.zeros((6, chat.SEEN)))
+    assert m.path([0, 5, 3]) == [0, 0, 0] and m.path([0, 0], enter=3) == m.path([0, 0], enter=3)
+
+
+def test_counts_are_those_of_the_lines(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    lines = chat.ordered(chat.transcript(turns), chat.shared_dir(spark))
+    first, step, shows = np.zeros(6), np.zeros((6, 6)), np.zeros((6, chat.SEEN))
+    last = None
+    for r in sorted(lines.collect(), key=lambda r: (r.conv_id is not None, r.conv_id, r.place, r._row)):
+        if r.truth is not None:
+            shows[r.truth, chat.observe(r.line)[0]] += 1
+            if last is None or last.conv_id != r.conv_id:
+                first[r.truth] += chat.STATES[r.truth][1]
+            elif last.part == r.part and last.truth is not None:
+                step[last.truth, r.truth] += 1
+        last = r
+    want, got = chat.Model(first, step, shows), chat.fit(lines)
+    assert (want.step == got.step).all() and (want.shows == got.shows).all() and (want.first == got.first).all()
+
+
 def test_edges(spark):
     rows = [(1, 0, "user", "Hi\n\nthere"), (1, 1, "assistant", None), (1, 2, "tool", "x"), (1, 2, "tool", "x"), (None, 0, "user", ""), (2, None, None, "y" * 40000)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("line", F.lit("clash"))
