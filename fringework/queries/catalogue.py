@@ -871,7 +871,27 @@ def stream_xengine(spark: SparkSession, d: str) -> DataFrame:
     """Each micro-batch's correlations are written; their sum is the whole."""
     folder = sources.work_folder(spark)
     e = sources.of_table(spark, d, "events")
-    v = e.select(F.expr("event_id div 64").alias("t"), F.expr("cast((event_id div 16) % 4 as int)").alias("chan"), (F.col("event_id") % 8).cast("int").alias("ant"), F.expr("cast((event_id div 8) % 2 as int)").alias("pol"), (F.floor(F.col("value") * 100).cast("bigint") % 256).alias("byte"))
+    v = fx.packed(e)
     part = blocks.to_folder(v, f"{folder}/out", f"{folder}/state", blocks.correlated)
     got = sources.finished(spark, part, f"{folder}/out", _tri(spark, d).schema)
     return got.groupBy("chan", "pol", "t_inner", "ant_i", "ant_j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+@query(f"WITH {BEAMS} SELECT chan, pol, t, beam, re, im FROM z")
+def stream_beams(spark: SparkSession, d: str) -> DataFrame:
+    """Beams of each micro-batch, whose weights are read when it begins; samples of one time may come in two batches."""
+    folder = sources.work_folder(spark)
+    v = fx.packed(sources.of_table(spark, d, "events"))
+    made = blocks.to_folder(v, f"{folder}/out", f"{folder}/state", lambda b: blocks.beams_with(b, lambda: fx.weights(spark)))
+    got = sources.finished(spark, made, f"{folder}/out", _beams(spark, d).schema)
+    return got.groupBy("chan", "pol", "t", "beam").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+@query(f"WITH {DD} SELECT beam, CAST(dm_idx AS INTEGER) AS dm_idx, t, value FROM dd WHERE t < 64 - (SELECT max(shift) FROM sh)")
+def stream_dedisp(spark: SparkSession, d: str) -> DataFrame:
+    """A filterbank's stream with the overlap kept as state."""
+    folder = sources.work_folder(spark)
+    shifts = np.rint(_tau(True) / DT).astype(int)
+    s = blocks.dedispersed_stream(fx.channels(sources.of_table(spark, d, "embeddings")), shifts)
+    got = sources.finished(spark, blocks.to_folder(s, f"{folder}/out", f"{folder}/state"), f"{folder}/out", s.schema)
+    return got.withColumn("value", F.col("value").cast("bigint"))

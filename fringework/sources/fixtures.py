@@ -13,8 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, chan, ant, pol, byte): one packed sample for each event."""
+    return packed(table(spark, sf_dir, "events"))
+
+
+def packed(events: DataFrame) -> DataFrame:
+    """An event is one sample; a table or a stream."""
     s = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.expr("event_id div 64").alias("t"), F.expr("cast((event_id div 16) % 4 as int)").alias("chan"), (s % ANT).cast("int").alias("ant"),
         F.expr("cast((event_id div 8) % 2 as int)").alias("pol"), (F.floor(F.col("value") * 100).cast("bigint") % 256).alias("byte"),
     )
@@ -22,8 +27,12 @@ def voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(beam, chan, t, x): 64 samples of up to 16 channels for each beam; the last beam has as many channels as vectors are left."""
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.expr("vec_id div 16").alias("beam"), (F.col("vec_id") % 16).cast("int").alias("chan"), F.posexplode("embedding").alias("t", "e"))
+    return channels(table(spark, sf_dir, "embeddings"))
+
+
+def channels(embeddings: DataFrame) -> DataFrame:
+    """A vector is one channel of one beam; a table or a stream."""
+    rows = embeddings.select(F.expr("vec_id div 16").alias("beam"), (F.col("vec_id") % 16).cast("int").alias("chan"), F.posexplode("embedding").alias("t", "e"))
     return rows.select("beam", "chan", F.col("t").cast("bigint").alias("t"), F.rint(F.col("e").cast("double") * 1000).cast("bigint").alias("x"))
 
 

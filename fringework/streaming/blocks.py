@@ -7,6 +7,7 @@ wrote, since its path is its number.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -72,6 +73,42 @@ def beams_with(stream: DataFrame, weights) -> DataFrame:
     return contract.beamform(decode.decode(stream), weights())
 
 
+def dedispersed_stream(fb: DataFrame, shifts: np.ndarray) -> DataFrame:
+    """(beam, dm_idx, t, value): a stream of (beam, chan, t, x) dedispersed as it comes, with the overlap kept as state.
+
+    shifts[dm, chan] in samples. A time comes out once, in the micro-batch that brings the last channel's sample
+    that its largest shift needs; what a stream's end leaves incomplete doesn't come out. The state of a beam is
+    its samples from the first such time on: as many as the largest shift, and what came ahead of other channels.
+    Each block has to bring every channel that its beam has.
+    """
+    most, n_chan = int(shifts.max(initial=0)), shifts.shape[1]
+
+    def step(key, frames, state: GroupState):
+        first, chan, t, x = state.get if state.exists else (0, [], [], [])
+        new = pd.concat([*frames, pd.DataFrame({"chan": [], "t": [], "x": []})])
+        chan, t = (np.concatenate((np.asarray(a, np.int64), new[c].to_numpy().astype(np.int64))) for a, c in ((chan, "chan"), (t, "t")))
+        x = np.concatenate((np.asarray(x, float), new["x"].to_numpy().astype(float)))
+        ok = (t >= first) & (chan >= 0) & (chan < n_chan)
+        chan, t, x = chan[ok], t[ok], x[ok]
+        high = min((int(t[chan == c].max()) for c in np.unique(chan)), default=-1)
+        end = max(first, high - most + 1)
+        if end > first:
+            dense = np.zeros((n_chan, high - first + 1))
+            use = t <= high
+            np.add.at(dense, (chan[use], t[use] - first), x[use])
+            n = end - first
+            for d, row in enumerate(shifts):
+                value = sum(dense[c, s : s + n] for c, s in enumerate(row.tolist()))
+                yield pd.DataFrame({"beam": [key[0]] * n, "dm_idx": d, "t": np.arange(first, end), "value": value})
+        left = t >= end
+        state.update((end, chan[left].tolist(), t[left].tolist(), x[left].tolist()))
+
+    rows = fb.select(F.col("beam").cast("bigint").alias("beam"), F.col("chan").cast("int").alias("chan"), F.col("t").cast("bigint").alias("t"), F.col("x").cast("double").alias("x"))
+    return rows.groupBy("beam").applyInPandasWithState(
+        step, "beam bigint, dm_idx int, t bigint, value double", "first bigint, chan array<bigint>, t array<bigint>, x array<double>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def dedispersed(batch: DataFrame, shifts: DataFrame, size: int) -> DataFrame:
     """One batch of overlapping blocks, as dedisp.dedispersed_blocks()."""
     return dedisp.dedispersed_blocks(batch, shifts, size)
