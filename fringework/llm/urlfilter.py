@@ -11,15 +11,16 @@ BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
 #: (verdict, host and path). The rule whose text is longest wins.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Fixed values, written down for this table without looking at any crawl: words that the usual categories of public block
-#: lists (gambling, pharmacy, adult, loans, advertising and tracking, phishing, pirated files) bring to mind, and plain
-#: words of topics, places and things. labelled() builds addresses from them.
+#: Words that the usual categories of public block lists (gambling, pharmacy, adult, loans, advertising and
+#: tracking, phishing, pirated files) bring to mind, and plain words of topics, places and things. labelled() builds
+#: addresses from them. The ten words of the test tables' unwanted hosts were known when this list was written (an earlier
+#: one had them); they are left out of it, so that those hosts are held out, but words close to some of them are here.
 BLOCKED = (
-    "casino casinos poker slots roulette blackjack jackpot betting bets bookmaker lottery gambling wager bingo spins "
-    "pills pharmacy viagra meds pharma steroids drugstore dosage rx weightloss diet keto "
-    "adult xxx porn sexy nude escort webcam hookup erotic dating "
-    "loan loans payday credit cash forex bitcoin crypto invest profit rich money earn bonus cheap discount free win winner prize giveaway coupon deal "
-    "ads adserver banner popup popunder tracker track tracking pixel click clicks affiliate sponsor telemetry spam "
+    "casinos poker slots roulette blackjack jackpot betting bookmaker lottery gambling wager bingo spins "
+    "pharmacy viagra meds pharma steroids drugstore dosage rx weightloss diet keto "
+    "xxx porn sexy nude escort webcam hookup erotic dating "
+    "loan loans payday credit cash forex bitcoin crypto invest profit rich money earn bonus discount winner prize giveaway coupon deal "
+    "adserver banner popup popunder tracker tracking pixel click clicks affiliate sponsor telemetry "
     "phish verify login-update secure-account malware virus keygen crack warez torrent nulled serial hack"
 ).split()
 WANTED = (
