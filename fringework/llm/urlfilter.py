@@ -25,7 +25,7 @@ BLOCKED = (
 ).split()
 WANTED = (
     "library garden news museum school weather recipes travel science history town music university hospital church village river mountain "
-    "forest bird fish horse kitchen bread cheese coffee tea wine farm market bakery bridge railway station harbour island castle theatre "
+    "forest bird fish horse kitchen bread cheese coffee tea wine market bakery bridge railway station harbour island castle theatre "
     "cinema gallery painting photo camera book reader poem novel author journal paper archive letter language grammar dictionary teacher "
     "student lesson maths physics chemistry biology geology planet star telescope ocean climate energy solar water soil tree flower seed "
     "bicycle running football tennis chess puzzle guitar piano choir orchestra dance craft knitting pottery wood stone house window "
