@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pieces in each of the two generations that a Python worker keeps, and token pairs.
-CACHED_PIECES, CACHED_PAIRS = 250_000, 1_000_000
+CACHED_PIECES, CACHED_PAIRS = 120_000, 400_000
 #: Texts of more characters than this are matched in parts.
 LONG_TEXT = 1 << 20
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
