@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from fringework.llm import jaccard
 from fringework.llm.common import drop_dir, shared_dir, stored
-from fringework.llm.components import components
+from fringework.llm.components import KEY, components, first_of_each, keyed
 
 #: Buckets of up to so many fingerprints are verified by all bits at once; larger ones by midpoints.
 SMALL_BUCKET = 64
@@ -109,7 +110,8 @@ def links(nodes: DataFrame, folder: str, bits: int = 2) -> DataFrame:
     """
     if not 0 <= bits <= 3:
         raise ValueError("bits must be from 0 to 3: more would need segments too short to tell many documents apart")
-    v = variants(nodes, bits)
+    # dealt out by number: a table of fingerprints is a file or two, and 64 rows come of each
+    v = variants(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), bits)
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
     buckets = stored(v.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), folder, "buckets")
     pairs = buckets.where("n = 2").where(near("a", "b")).select("a", "b")
@@ -149,17 +151,43 @@ def classes(docs: DataFrame, words: int = 3, bits: int = 2, seed: int = 42, text
     folder = shared_dir(docs.sparkSession)
     own = stored(fingerprints(docs, words, seed, text, doc_id), folder, "fingerprints")
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), folder, "nodes")
-    roots = stored(components(links(nodes.select("fp"), folder, bits), folder), folder, "roots")
+    roots = stored(components(links(nodes.select("fp"), folder, bits), f"{folder}/stars"), folder, "roots")
     rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), folder, "rooted")
     lowest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), folder, "lowest")
     classed = stored(rooted.join(lowest, "root").select("fp", "component_id"), folder, "classes")
-    for name in ("nodes", "buckets", "members", "roots", "rooted", "lowest"):
+    for name in ("nodes", "buckets", "members", "stars", "roots", "rooted", "lowest"):
         drop_dir(docs.sparkSession, f"{folder}/{name}")
     return own.join(classed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, bits: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id; a row without doc_id stays, since nothing names it."""
-    found = classes(docs, words, bits, text=text, doc_id=doc_id).where("doc_id > component_id")
-    gone = stored(found.select(F.col("doc_id").alias("_gone")).distinct(), shared_dir(docs.sparkSession), "gone")
-    return docs.join(gone.hint("merge"), docs[doc_id].cast("bigint") == gone["_gone"], "left_anti")
+def keep_one(docs: DataFrame, words: int = 3, bits: int = 2, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each class of classes(), with all its columns: the smallest doc_id, null ids last.
+
+    Rows that share an id are told apart by their text; of rows alike in both one stays.
+    """
+    folder = shared_dir(docs.sparkSession)
+    named = keyed(docs, text, doc_id)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                fp = np.array([fingerprint(t, words, seed) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp)], [*KEY, "node"])
+
+    own = stored(named.select(*KEY, docs[text].cast("string").alias("text")).mapInArrow(run, "_null boolean, _id bigint, _hash bigint, node bigint"), folder, "own")
+    nodes = stored(own.select(F.col("node").alias("fp")).distinct(), folder, "nodes")
+    roots = stored(components(links(nodes, folder, bits), f"{folder}/stars"), folder, "roots")
+    out = first_of_each(named, own, roots, folder).select(docs.columns)
+    for name in ("own", "nodes", "buckets", "members", "stars", "roots"):
+        drop_dir(docs.sparkSession, f"{folder}/{name}")
+    return out
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each class of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Such texts differ in some ten of 64 bits, so that no segment short of a few bits is sure to hold at most one
+    of them: fingerprints can't find them, and jaccard.keep_one() does, which has the rules for nulls and ties.
+    """
+    return jaccard.keep_one(docs, text, doc_id)
