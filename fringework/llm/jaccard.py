@@ -61,8 +61,8 @@ def _k(n: int) -> int:
     return max(1, n // 10) if n else 0
 
 
-def _listed(rows: DataFrame, last: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(_null, _id, _hash, node, n, first) for each row of rows(_null, _id, _hash, text)."""
+def _listed(rows: DataFrame, last: np.ndarray, rank: np.ndarray, sketch=None) -> DataFrame:
+    """(_null, _id, _hash, node, n, fp, first) for each row of rows(_null, _id, _hash, text); fp is what sketch gives, or null."""
     sent = rows.sparkSession.sparkContext.broadcast((last, rank))
 
     def run(batches):
@@ -72,10 +72,11 @@ def _listed(rows: DataFrame, last: np.ndarray, rank: np.ndarray) -> DataFrame:
                 sets = [shingles(t) for t in batch.column(3).to_pylist()]
                 first = [_first(h, *sent.value) for h in sets]
                 off = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                cols = [pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(first)))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], [*KEY, "node", "n", "first"])
+                fp = pa.nulls(len(sets), pa.int64()) if sketch is None else pa.array(np.array([sketch(h) for h in sets], np.uint64).view(np.int64))
+                cols = [pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), fp, pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(first)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], [*KEY, "node", "n", "fp", "first"])
 
-    return rows.mapInArrow(run, "_null boolean, _id bigint, _hash bigint, node bigint, n int, first array<bigint>")
+    return rows.mapInArrow(run, "_null boolean, _id bigint, _hash bigint, node bigint, n int, fp bigint, first array<bigint>")
 
 
 def _pairs(batches):
@@ -138,12 +139,14 @@ def _rooted(held: DataFrame, known: DataFrame) -> DataFrame:
     return held.join(known, F.col("node") == F.col("_node"), "left").select("token", "m", "node", "n", "deg", F.coalesce("_root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sketch=None, close=None) -> DataFrame:
     """One row of each class of docs, with all its columns: the one with the smallest doc_id, null ids last.
 
     Linked are texts whose sets of five-word shingles (A-Z in lower case, single spaces) have a Jaccard
     similarity of 0.8 or more; a class is what links connect. Null and blank texts have no shingle and are
     one class. Rows that share an id are told apart by their text; of rows alike in both one stays.
+    sketch(hashes) gives each set's fingerprint and close() pairs (a, b) of sets(node, n, fp) that may be similar:
+    they are verified and linked first, which changes the cost, not the result.
     """
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     named = keyed(docs, text, doc_id)
@@ -153,11 +156,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     often = often.orderBy(F.desc("count"), "token").limit(LAST).collect()
     last, rank = np.array([r.token for r in often], np.int64), np.arange(len(often), 0, -1)  # the commonest at the very end
     order = np.argsort(last)
-    listed = stored(_listed(rows, last[order], rank[order]), folder, "listed")
+    listed = stored(_listed(rows, last[order], rank[order], sketch), folder, "listed")
     own = stored(listed.select(*KEY, "node"), folder, "own")
     best = stored(own.groupBy("node").agg(F.min(F.struct(*KEY)).alias("best")), folder, "best")
-    nodes = stored(listed.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first")), folder, "nodes")
+    nodes = stored(listed.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first")), folder, "nodes")
     drop_dir(spark, f"{folder}/listed")
+    alike = spark.createDataFrame([], "a bigint, b bigint")
+    if close:
+        alike = _verified(close(nodes.select("node", "n", "fp")), best, rows, folder, "alike")
 
     tokens = nodes.select("node", "n", F.explode("first").alias("token"))
     often = stored(tokens.groupBy("token").count().where(F.col("count") > LONG).select("token"), folder, "often")
@@ -173,13 +179,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     # what copies have been made of is in most of their lists: the others of a list are compared with that set and two more
     # first, and those that this leaves apart with three of them, since what is linked need not be compared any more
     degree = long.groupBy("node").agg(F.sum("m").alias("deg"))
-    held = stored(long.join(degree.hint("merge"), "node").withColumn("root", F.col("node")), folder, "held-0")
-    star = _verified(_stars(held, 0), best, rows, folder, "star-0")
+    held = long.join(degree.hint("merge"), "node").withColumn("root", F.col("node"))
+    held = stored(_rooted(held, components(alike, f"{folder}/alike")), folder, "held-0")
+    star = alike.unionByName(_verified(_stars(held, 0), best, rows, folder, "star-0"))
     held = stored(_rooted(held, components(star, f"{folder}/stars-0")), folder, "held-1")
     first = held.groupBy("token").agg(F.max(F.struct("deg", "node", "root")).alias("top")).select("token", F.col("top.root").alias("main"))
     star = star.unionByName(_verified(_stars(held.join(first, "token").where("root <> main").drop("main"), 2), best, rows, folder, "star-1"))
     held = stored(_rooted(held, components(star, f"{folder}/stars-1")), folder, "held-2")
-    for name in ("members", "held-0", "held-1", "stars-0", "stars-1"):
+    for name in ("members", "held-0", "held-1", "alike", "stars-0", "stars-1"):
         drop_dir(spark, f"{folder}/{name}")
 
     apart = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
@@ -193,6 +200,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     roots = stored(components(star.unionByName(near), f"{folder}/all"), folder, "roots")
     out = first_of_each(named, own, roots, folder).select(docs.columns)
-    for name in ("own", "best", "nodes", "often", "lists", "held-2", "held-3", "star-0-links", "star-1-links", "near-links", "roots", "all"):
+    for name in ("own", "best", "nodes", "often", "lists", "held-2", "held-3", "alike-links", "star-0-links", "star-1-links", "near-links", "roots", "all"):
         drop_dir(spark, f"{folder}/{name}")
     return out

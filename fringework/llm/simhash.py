@@ -5,6 +5,9 @@ segment in which they differ by at most one bit. Each segment is indexed once fo
 is taken out of it (a wildcard); fingerprints that share such a variant are candidates, found by an
 equality join, and verified on all 64 bits. Equal fingerprints are joined up before that, so a
 group of copies of any size takes part as one row.
+
+near_copies() takes sets of five-word shingles for that, verifies what shares a variant on the whole
+sets, and has the links that fingerprints do not show from jaccard.keep_one(), which is exact.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fringework.llm import jaccard
 from fringework.llm.common import drop_dir, shared_dir, stored
@@ -35,11 +38,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(parts) - words + 1
     h = np.fromiter([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())], "<u8", n)
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits; a bit is set if over half of the 64-bit hashes have it."""
+    h, total = h.view("<u8"), np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -62,17 +70,17 @@ def _segments(bits: int) -> list[tuple[int, int]]:
 
 
 def variants(nodes: DataFrame, bits: int) -> DataFrame:
-    """(fp, slot, key): 64 rows for each fp. slot is the bit that is left out, key its segment without it."""
+    """The columns of nodes(fp, ...), slot and key: 64 rows for each. slot is the bit that is left out, key its segment without it."""
     slot = F.col("slot")
     low, width = F.lit(0), F.lit(0)
     for a, b in _segments(bits):
         inside = (slot >= a) & (slot < b)
         low, width = F.when(inside, a).otherwise(low), F.when(inside, b - a).otherwise(width)
-    out = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
-    out = out.select("fp", "slot", low.alias("low"), width.alias("width"))
+    out = nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
+    out = out.select("*", low.alias("low"), width.alias("width"))
     # shifting up and down again clears what lies outside the segment
     segment = "shiftrightunsigned(shiftleft(fp, 64 - low - width), 64 - width)"
-    return out.select("fp", "slot", F.expr(f"{segment} & ~shiftleft(1L, slot - low)").alias("key"))
+    return out.select(*nodes.columns, "slot", F.expr(f"{segment} & ~shiftleft(1L, slot - low)").alias("key"))
 
 
 def _verified(batches, bits: int):
@@ -184,10 +192,27 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 2, seed: int = 42, tex
     return out
 
 
+def variant_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets of sets(node, n, fp) that stand side by side in a bucket of a variant, or first in it, if their sizes allow 0.8.
+
+    A bucket is one half of a fingerprint but for one bit. It is put in order of size and never gathered: it gives
+    two pairs for each of its rows, however many they are. Sets are told apart by node, so equal fingerprints meet too.
+    """
+    # dealt out by number, as in links()
+    v = variants(sets.select("node", "n", "fp").repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), 2)
+    v = v.select("node", "n", F.expr("shiftleft(cast(slot as bigint), 32) | key").alias("key"))  # halves have 32 bits
+    bucket = Window.partitionBy("key").orderBy("n", "node")
+    both = lambda f: f(F.struct("node", "n")).over(bucket)
+    v = v.select("node", "n", both(F.lag).alias("before"), both(F.first).alias("head")).where("before is not null")
+    v = v.select("node", "n", F.explode(F.array("before", "head")).alias("with")).where("5 * with.n >= 4 * n and with.node <> node")
+    return v.select(F.least("node", "with.node").alias("a"), F.greatest("node", "with.node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each class of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Such texts differ in some ten of 64 bits, so that no segment short of a few bits is sure to hold at most one
-    of them: fingerprints can't find them, and jaccard.keep_one() does, which has the rules for nulls and ties.
+    Each set of shingles has a fingerprint; sets that share a deletion variant are verified and linked first.
+    Texts of that similarity differ in some ten of 64 bits, so many of them share none: jaccard.keep_one() finds
+    the links that are left between different classes. It has the rules for nulls and ties.
     """
-    return jaccard.keep_one(docs, text, doc_id)
+    return jaccard.keep_one(docs, text, doc_id, sketch=majority, close=variant_pairs)

@@ -85,3 +85,43 @@ def test_long_chain(spark, tmp_path):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (None, 2), (7, 6)], "a bigint, b bigint")
     got = components(links, f"file://{tmp_path}/c").collect()
     assert {r.node for r in got} == set(range(301)) and {r.root for r in got} == {0}
+
+
+def test_near_copies_come_from_variants(spark, monkeypatch):
+    """The stage's classes rest on fingerprints: what shares a variant is linked before the exact search, which has the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
+    rows += [(10_000 + i, t + " two more words") for i, t in rows if len((t or "").split()) > 60]
+    asked, real = [], simhash.jaccard._verified
+
+    def seen(pairs, best, texts, folder, name):
+        out = real(pairs, best, texts, folder, name)
+        asked.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash.jaccard, "_verified", seen)
+    kept = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert max(r.doc_id for r in kept.collect()) < 10_000
+    assert asked[0][0] == "alike" and asked[0][1] >= 0.6 * (len(rows) - 60) > 5
+
+
+def test_variant_pairs_by_brute_force(spark):
+    """Every set in a bucket of two is paired; a bucket of any size gives two pairs for each row at most."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = [base[i % 40] ^ sum(1 << b for b in rng.sample(range(64), i // 40)) for i in range(120)] + [base[0]] * 50
+    sets = [(i, 100 - i % 3, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
+    got = {(r.a, r.b) for r in simhash.variant_pairs(spark.createDataFrame(sets, "node bigint, n int, fp bigint")).collect()}
+    half = lambda i, j: min(((fps[i] ^ fps[j]) >> s & (1 << 32) - 1).bit_count() for s in (0, 32))
+    near = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if half(i, j) <= 1}
+    assert got <= near and len(got) <= 2 * 64 * len(fps)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in near)
