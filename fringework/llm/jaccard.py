@@ -2,11 +2,13 @@
 
 Two sets of x and y hashes with a similarity of 0.8 or more lack at most x // 5 and y // 5 of each
 other. So whatever order all hashes are put in, the first x // 5 + k and y // 5 + k of them have at
-least k in common. A set is listed under each of these; pairs that stand together in k lists or more
-are verified on the whole sets. Nothing is left to chance, and no list is dropped: hashes that many
-sets have come last in the order, and a list that is long even so is never gathered in one place: its
-rows are joined, first with three of its sets, twice, then among those that this leaves without a link,
-which grows with the square of their number: many texts that share a passage and little else are costly.
+least k in common. A set is listed under each of these; pairs that stand together in short lists and
+could reach k lists are verified on the whole sets. Hashes that many sets have come last in the order,
+and a list that is long even so is never gathered in one place: its rows are joined, for pairs that no
+short list has. Their first common hash is in a long list, and if it is at i in one set and at j in the
+other (from 0), they have x - i and y - j hashes at most in common, which must be 4 / 9 of x + y. So only
+rows near the front of their sets meet, and those are mostly linked before, by three sets of each list,
+twice. Nothing is left to chance, and no list is dropped.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from fringework.llm.common import drop_dir, shared_dir, stored
 from fringework.llm.components import KEY, components, first_of_each, keyed
 
 WORDS = 5
-#: Lists of more sets are long. Of the hashes that have one, so many at most are put last: a matter of cost, any order is exact.
+#: Lists of more sets are long. Of the hashes that so many sets have, so many at most are put last: a matter of cost, any order is exact.
 LONG, LAST = 64, 1 << 17
+#: Which hashes many sets have is found on the whole sets of one text of so many (by hash). All texts are listed and compared.
+SAMPLE = 8
 #: Most hashes with a long list that are broadcast (8 bytes each); more are joined by a shuffle.
 SENT = 1 << 20
 #: Texts to verify are picked by so many slots of their hash, then by equality.
@@ -48,8 +52,10 @@ def _node(h: np.ndarray) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _first(h: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n // 5 + k of n hashes; those in last (ascending) come after all others, by rank."""
+def _first(h: np.ndarray, last: np.ndarray | None, rank: np.ndarray | None) -> np.ndarray:
+    """The first n // 5 + k of n hashes; those in last (ascending) come after all others, by rank. All hashes if last is None."""
+    if last is None:
+        return h
     most = len(h) // 5 + _k(len(h))
     if len(last) and len(h):
         at = np.minimum(np.searchsorted(last, h), len(last) - 1)
@@ -61,7 +67,7 @@ def _k(n: int) -> int:
     return max(1, n // 10) if n else 0
 
 
-def _listed(rows: DataFrame, last: np.ndarray, rank: np.ndarray, sketch=None) -> DataFrame:
+def _listed(rows: DataFrame, last: np.ndarray | None, rank: np.ndarray | None, sketch=None) -> DataFrame:
     """(_null, _id, _hash, node, n, fp, first) for each row of rows(_null, _id, _hash, text); fp is what sketch gives, or null."""
     sent = rows.sparkSession.sparkContext.broadcast((last, rank))
 
@@ -124,19 +130,42 @@ def _verified(pairs: DataFrame, best: DataFrame, rows: DataFrame, folder: str, n
     return out
 
 
+def _room(n: str, pos: str) -> str:
+    """SQL: 4 times the size of the largest set that a set of n hashes can be similar to if pos of them are not in it."""
+    return f"(5 * {n} - 9 * {pos})"
+
+
+def _fits(x: str, y: str) -> str:
+    """SQL: what the columns n and pos of x and y, of a hash that is their first in common, leave room for."""
+    n, pos = (lambda s: s + "n"), (lambda s: s + "pos")
+    return f"4 * {n(x)} <= {_room(n(y), pos(y))} and 4 * {n(y)} <= {_room(n(x), pos(x))}"
+
+
 def _stars(held: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) of each set of held(token, m, node, n, deg, root) with three of its list, if they have other roots and sizes that allow 0.8."""
-    by = lambda x: F.struct(x.alias("by"), "node", "n", "root")
+    """Pairs (a, b) of each set of held(token, node, n, pos, deg, root) with three of its list, if they have other roots and fit."""
+    by = lambda x: F.struct(x.alias("by"), "node", "n", "pos", "root")
     hubs = [F.max(by(F.col("deg"))), *(F.min(by(F.xxhash64("node", F.lit(seed + k)))) for k in range(2))]
-    rows = held.join(held.groupBy("token").agg(F.array(*hubs).alias("hubs")), "token").select("node", "n", "root", F.explode("hubs").alias("hub"))
-    rows = rows.where("hub.root <> root and 5 * least(hub.n, n) >= 4 * greatest(hub.n, n)")
+    rows = held.join(held.groupBy("token").agg(F.array(*hubs).alias("hubs")), "token").select("node", "n", "pos", "root", F.explode("hubs").alias("hub"))
+    rows = rows.where(f"hub.root <> root and {_fits('', 'hub.')}")
     return rows.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
 
 
 def _rooted(held: DataFrame, known: DataFrame) -> DataFrame:
     """held with the roots that known(node, root) gives."""
     known = known.select(F.col("node").alias("_node"), F.col("root").alias("_root")).hint("merge")
-    return held.join(known, F.col("node") == F.col("_node"), "left").select("token", "m", "node", "n", "deg", F.coalesce("_root", "node").alias("root"))
+    return held.join(known, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "pos", "deg", F.coalesce("_root", "node").alias("root"))
+
+
+def _apart(held: DataFrame) -> DataFrame:
+    """The rows of held that may be near a set of another root in the same list.
+
+    One set of such a pair has the hash in its first ninth (is early). So a later row stays only if there are early ones
+    of another root, the least of them small enough and one with room enough; and a list of one root goes.
+    """
+    early = held.where("early").groupBy("token").agg(F.min("n").alias("least"), F.max(F.expr(_room("n", "pos"))).alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    held = held.join(early, "token").where(f"early or (low <> root or high <> root) and 4 * least <= {_room('n', 'pos')} and 4 * n <= most").select(held.columns)
+    lists = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return held.join(lists, "token")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sketch=None, close=None) -> DataFrame:
@@ -151,8 +180,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sketch
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     named = keyed(docs, text, doc_id)
     rows = named.select(*KEY, docs[text].cast("string").alias("text"))
-    none = np.zeros(0, np.int64)
-    often = _listed(rows, none, none).select(F.explode("first").alias("token")).groupBy("token").count().where(F.col("count") > LONG)
+    some = rows.where(F.pmod(F.xxhash64("_hash"), F.lit(SAMPLE)) == 0)
+    often = _listed(some, None, None).select(F.explode("first").alias("token")).groupBy("token").count().where(F.col("count") > max(1, LONG // SAMPLE))
     often = often.orderBy(F.desc("count"), "token").limit(LAST).collect()
     last, rank = np.array([r.token for r in often], np.int64), np.arange(len(often), 0, -1)  # the commonest at the very end
     order = np.argsort(last)
@@ -165,41 +194,49 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sketch
     if close:
         alike = _verified(close(nodes.select("node", "n", "fp")), best, rows, folder, "alike")
 
-    tokens = nodes.select("node", "n", F.explode("first").alias("token"))
+    tokens = nodes.select("node", "n", F.posexplode("first").alias("pos", "token"))
     often = stored(tokens.groupBy("token").count().where(F.col("count") > LONG).select("token"), folder, "often")
     often = F.broadcast(often) if often.count() <= SENT else often.hint("merge")
     lists = tokens.join(often, "token", "left_anti").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("list")).where(F.size("list") > 1)  # LONG sets at most
     lists = stored(lists.groupBy("list").agg(F.count("*").alias("m")), folder, "lists")
-    # long lists stay rows; of those with the same members one is looked at, m times
+    # long lists stay rows; of those with the same members one is looked at, the first in the order, which is first in each set
     long = stored(tokens.join(often, "token"), folder, "long")
-    kinds = long.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    kinds = kinds.groupBy("c", "x", "y").agg(F.count("*").alias("m"), F.min("token").alias("token")).select("token", "m")
-    long = stored(long.join(kinds, "token"), folder, "members")
+    kinds = long.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("pos").alias("pos"))
+    kinds = kinds.groupBy("c", "x", "y").agg(F.min(F.struct("pos", "token")).alias("t")).select("t.token")
+    degree = stored(long.groupBy("node").agg(F.count("*").alias("deg")), folder, "degree")
+    long = stored(long.join(kinds, "token").where("5 * pos <= n"), folder, "members")  # no set has room for later ones
     drop_dir(spark, f"{folder}/long")
     # what copies have been made of is in most of their lists: the others of a list are compared with that set and two more
     # first, and those that this leaves apart with three of them, since what is linked need not be compared any more
-    degree = long.groupBy("node").agg(F.sum("m").alias("deg"))
     held = long.join(degree.hint("merge"), "node").withColumn("root", F.col("node"))
     held = stored(_rooted(held, components(alike, f"{folder}/alike")), folder, "held-0")
     star = alike.unionByName(_verified(_stars(held, 0), best, rows, folder, "star-0"))
     held = stored(_rooted(held, components(star, f"{folder}/stars-0")), folder, "held-1")
     first = held.groupBy("token").agg(F.max(F.struct("deg", "node", "root")).alias("top")).select("token", F.col("top.root").alias("main"))
-    star = star.unionByName(_verified(_stars(held.join(first, "token").where("root <> main").drop("main"), 2), best, rows, folder, "star-1"))
-    held = stored(_rooted(held, components(star, f"{folder}/stars-1")), folder, "held-2")
-    for name in ("members", "held-0", "held-1", "alike", "stars-0", "stars-1"):
+    star = star.unionByName(_verified(_stars(held.join(first, "token").where("root <> main").select(held.columns), 2), best, rows, folder, "star-1"))
+    rooted = components(star, f"{folder}/stars-1")
+    held = stored(_rooted(held, rooted), folder, "held-2")
+    held = stored(_apart(held.withColumn("early", F.expr("9 * pos <= n"))), folder, "held-3")
+    for name in ("members", "held-0", "held-1", "held-2", "alike", "stars-0"):
         drop_dir(spark, f"{folder}/{name}")
 
-    apart = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    held = stored(held.join(apart, "token"), folder, "held-3")
-    x, y = (held.select("token", "m", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "root")]) for side in "xy")
-    far = x.join(y.drop("m").hint("merge"), "token").where("x_node < y_node and x_root <> y_root and 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
-    far = far.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.expr("cast(greatest(1, least(x_n, y_n) div 10) as bigint)").alias("k"), "m")
-    pairs = lists.select("m", "list").mapInArrow(_pairs, "a bigint, b bigint, k bigint, m bigint").unionByName(far)
-    pairs = pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), F.first("k").alias("k"))
-    near = _verified(pairs.where("m >= k").select("a", "b"), best, rows, folder, "near")
+    x, y = (held.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "root", "early")]) for side in "xy")
+    far = x.where("x_early").join(y.hint("merge"), "token").where(f"x_root <> y_root and (x_node < y_node or not y_early) and {_fits('x_', 'y_')}")
+    far = far.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    pairs = lists.select("m", "list").mapInArrow(_pairs, "a bigint, b bigint, k bigint, m bigint")
+    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), F.first("k").alias("k")), folder, "short")
+    # what is short of k lists may be together in as many long ones as both are in
+    both = lambda side: degree.select(F.col("node").alias(side), F.col("deg").alias(f"{side}_deg")).hint("merge")
+    more = pairs.where("m < k").join(both("a"), "a").join(both("b"), "b").where("m + least(a_deg, b_deg) >= k")
+    pairs = pairs.where("m >= k").select("a", "b").unionByName(more.select("a", "b")).unionByName(far).distinct()
+    for side in "ab":  # linked before
+        known = rooted.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")).hint("merge")
+        pairs = pairs.join(known, side, "left")
+    pairs = pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+    near = _verified(pairs, best, rows, folder, "near")
 
     roots = stored(components(star.unionByName(near), f"{folder}/all"), folder, "roots")
     out = first_of_each(named, own, roots, folder).select(docs.columns)
-    for name in ("own", "best", "nodes", "often", "lists", "held-2", "held-3", "alike-links", "star-0-links", "star-1-links", "near-links", "roots", "all"):
+    for name in ("own", "best", "nodes", "often", "lists", "degree", "short", "stars-1", "held-3", "alike-links", "star-0-links", "star-1-links", "near-links", "roots", "all"):
         drop_dir(spark, f"{folder}/{name}")
     return out

@@ -66,3 +66,19 @@ def test_rows_alike(spark):
     out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(out.collect(), key=str) == sorted([(3, a), (7, b), (4, None), next(r for r in map(tuple, out.collect()) if r[0] is None)], key=str)
     assert jaccard.keep_one(out.limit(0)).count() == 0
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_list(spark, monkeypatch):
+    """Texts that have most of a passage, too little for a link: few of their pairs are verified, and no link is lost."""
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(99)) for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        w = list(base)
+        for at in rng.sample(range(0, 150, 6), 2 + i % 5):
+            w[at] = str(10**6 + rng.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    asked, real = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: asked.append(pairs.count()) or real(pairs, *a))
+    assert ids(jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+    assert sum(asked) <= jaccard.LONG // 2 * len(rows)  # what short lists may give
