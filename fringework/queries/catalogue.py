@@ -831,9 +831,9 @@ _SPREAD = "(value - 200) * value * value * 0.01::DOUBLE"
 
 @query(f"WITH s AS (SELECT event_id, {_SPREAD} AS x FROM events), y AS (SELECT *, floor(log2(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE abs(x) END)) AS e FROM s) SELECT event_id, {_float_sql('x', 10, -14, 65504.0, chr(39) + 'infinity' + chr(39) + '::DOUBLE')} AS half, {_float_sql('x', 7, -126, 3.3895313892515355e38, chr(39) + 'infinity' + chr(39) + '::DOUBLE')} AS bfloat16, {_float_sql('x', 3, -6, 448.0, '448.0::DOUBLE')} AS e4m3, {_float_sql('x', 2, -14, 57344.0, '57344.0::DOUBLE')} AS e5m2 FROM y")
 def narrow_floats(spark: SparkSession, d: str) -> DataFrame:
-    """Rounding to 16 and 8 bits; the 8-bit formats saturate."""
+    """Rounding to 16 and 8 bits; the 8-bit formats saturate. An input of minus zero (what a value of 0 gives) is zero."""
     v = F.col("value")
-    x = fx.table(spark, d, "events").select("event_id", ((v - 200) * v * v * F.lit(0.01)).alias("x"))
+    x = fx.table(spark, d, "events").select("event_id", ((v - 200) * v * v * F.lit(0.01) + 0.0).alias("x"))
     return x.select("event_id", *[bits.as_float(F.col("x"), f, f[0] == "e").alias(f) for f in bits.FORMATS])
 
 

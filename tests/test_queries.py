@@ -53,3 +53,15 @@ def test_no_nested_loops(spark):
 def test_columns_are_pruned(spark):
     plan = QUERIES["xengine_tri"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
+
+
+def test_narrow_floats_have_the_signs_of_sql(spark, tmp_path):
+    """A value of 0 gives zero, not minus zero; what is rounded to nothing from below keeps its sign in both."""
+    v = [0.0, -0.0, 0.01, 0.02, 199.99, 200.0, 200.01, 350.0, 560.21, 4000.0, -3.5, None]
+    spark.createDataFrame(list(enumerate(v)), "event_id bigint, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(SQL["narrow_floats"])
+    names = [c[0] for c in want.description]
+    got = QUERIES["narrow_floats"](spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
