@@ -889,9 +889,9 @@ def stream_beams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DD} SELECT beam, CAST(dm_idx AS INTEGER) AS dm_idx, t, value FROM dd WHERE t < 64 - (SELECT max(shift) FROM sh)")
 def stream_dedisp(spark: SparkSession, d: str) -> DataFrame:
-    """A filterbank's stream with the overlap kept as state."""
+    """A filterbank's stream with the overlap kept as state; a beam's channels may come in several batches, whose shares add up."""
     folder = sources.work_folder(spark)
     shifts = np.rint(_tau(True) / DT).astype(int)
     s = blocks.dedispersed_stream(fx.channels(sources.of_table(spark, d, "embeddings")), shifts)
     got = sources.finished(spark, blocks.to_folder(s, f"{folder}/out", f"{folder}/state"), f"{folder}/out", s.schema)
-    return got.withColumn("value", F.col("value").cast("bigint"))
+    return got.groupBy("beam", "dm_idx", "t").agg(F.sum("value").cast("bigint").alias("value"))

@@ -76,19 +76,28 @@ def beams_with(stream: DataFrame, weights) -> DataFrame:
 def dedispersed_stream(fb: DataFrame, shifts: np.ndarray) -> DataFrame:
     """(beam, dm_idx, t, value): a stream of (beam, chan, t, x) dedispersed as it comes, with the overlap kept as state.
 
-    shifts[dm, chan] in samples. A time comes out once, in the micro-batch that brings the last channel's sample
-    that its largest shift needs; what a stream's end leaves incomplete doesn't come out. The state of a beam is
-    its samples from the first such time on: as many as the largest shift, and what came ahead of other channels.
-    Each block has to bring every channel that its beam has.
+    shifts[dm, chan] in samples. A time comes out in the micro-batch that brings the last channel's sample that its
+    largest shift needs, of the channels that have come by then; what a stream's end leaves incomplete doesn't come
+    out. What comes later for a time that is out (a beam's other channels, say, which lie in another file) comes out
+    as one more row with its share, so rows of one (beam, dm_idx, t) add up; where each block brings every channel of
+    its beam, there is one row. The state of a beam is its samples from the first time that isn't out on: as many as
+    the largest shift, and what came ahead of other channels.
     """
     most, n_chan = int(shifts.max(initial=0)), shifts.shape[1]
 
     def step(key, frames, state: GroupState):
-        first, chan, t, x = state.get if state.exists else (0, [], [], [])
-        new = pd.concat([*frames, pd.DataFrame({"chan": [], "t": [], "x": []})])
-        chan, t = (np.concatenate((np.asarray(a, np.int64), new[c].to_numpy().astype(np.int64))) for a, c in ((chan, "chan"), (t, "t")))
-        x = np.concatenate((np.asarray(x, float), new["x"].to_numpy().astype(float)))
-        ok = (t >= first) & (chan >= 0) & (chan < n_chan)
+        first, *kept = state.get if state.exists else (0, [], [], [])
+        rows = pd.concat([*frames, pd.DataFrame({"chan": [], "t": [], "x": []})])
+        rows = rows[(rows["t"] >= 0) & (rows["chan"] >= 0) & (rows["chan"] < n_chan)]
+        new = [rows[c].to_numpy().astype(kind) for c, kind in (("chan", np.int64), ("t", np.int64), ("x", float))]
+        for d, row in enumerate(shifts if first else ()):  # shares of times that are out
+            at = new[1] - row[new[0]]
+            late = (at >= 0) & (at < first)
+            if late.any():
+                times, place = np.unique(at[late], return_inverse=True)
+                yield pd.DataFrame({"beam": [key[0]] * len(times), "dm_idx": d, "t": times, "value": np.bincount(place, new[2][late])})
+        chan, t, x = (np.concatenate((np.asarray(a, b.dtype), b)) for a, b in zip(kept, new))
+        ok = t >= first
         chan, t, x = chan[ok], t[ok], x[ok]
         high = min((int(t[chan == c].max()) for c in np.unique(chan)), default=-1)
         end = max(first, high - most + 1)

@@ -65,3 +65,15 @@ def test_narrow_floats_have_the_signs_of_sql(spark, tmp_path):
     names = [c[0] for c in want.description]
     got = QUERIES["narrow_floats"](spark, str(tmp_path)).select(names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+def test_stream_dedisp_of_beams_over_several_files(spark, duck, tmp_path):
+    """Files of ten vectors, four in a micro-batch: beams of 16 vectors lie in two batches."""
+    (tmp_path / "embeddings.parquet").mkdir()
+    for k in range(12):
+        duck.execute(f"COPY (SELECT * FROM embeddings WHERE vec_id BETWEEN {10 * k} AND {10 * k + 9}) TO '{tmp_path}/embeddings.parquet/part-{k:04d}.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(SQL["stream_dedisp"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, QUERIES["stream_dedisp"](spark, str(tmp_path)).select(names).collect())) == sorted(want.fetchall())

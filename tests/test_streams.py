@@ -63,3 +63,23 @@ def test_overlap_is_kept_between_batches(spark, tmp_path):
     whole = dedisp.shifted_sum(spark.createDataFrame(rows, schema), table, 50, complete=True)
     key = lambda x: sorted((r.beam, r.dm_idx, r.t, r.value) for r in x.collect())
     assert key(got) == key(whole) and q.lastProgress["batchId"] >= 4
+
+
+def test_channels_that_come_later_are_added(spark, tmp_path):
+    """A beam's channels over several micro-batches, one of them in pieces and behind the others, another twice: rows add up to the whole."""
+    rows = [(b, c, t, float((b * 11 + c * 5 + t * t) % 97)) for b in range(2) for c in range(4) for t in range(50)]
+    parts = [
+        [r for r in rows if r[1] < 2], [r for r in rows if r[1] == 2 and r[2] < 20], [r for r in rows if r[1] == 3 and r[0] == 0],
+        [r for r in rows if r[1] == 2 and r[2] >= 20], [r for r in rows if r[1] == 3 and r[0] == 1], [r for r in rows if r[1] == 1],
+    ]
+    schema = "beam bigint, chan int, t bigint, x double"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/k={k}")
+    shifts = np.array([[0, 0, 0, 0], [7, 4, 2, 0], [13, 8, 3, 0]])
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = blocks.to_folder(blocks.dedispersed_stream(s, shifts), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sources.finished(spark, q, f"{tmp_path}/out", "beam bigint, dm_idx int, t bigint, value double").groupBy("beam", "dm_idx", "t").agg(F.sum("value").alias("value"))
+    table = spark.createDataFrame([(c, d, int(shifts[d, c])) for c in range(4) for d in range(3)], "chan int, dm_idx int, shift bigint")
+    whole = dedisp.shifted_sum(spark.createDataFrame([r for p in parts for r in p], schema), table, 50, complete=True)
+    key = lambda x: sorted((r.beam, r.dm_idx, r.t, r.value) for r in x.collect())
+    assert key(got) == key(whole) and q.lastProgress["batchId"] >= 5
